@@ -6,10 +6,11 @@ from .language import op2_language_id
 from .quality import OP8_SQL, op8_quality_rules
 from .sharding import op9_virtual_slots
 from .simhash import op1_simhash
+from .suffix import op6_suffix_dedup
 
 
 def queries() -> dict:
-    return {"op1_simhash": op1_simhash, "op2_language_id": op2_language_id, "op8_quality_rules": op8_quality_rules, "op9_virtual_slots": op9_virtual_slots}
+    return {"op1_simhash": op1_simhash, "op2_language_id": op2_language_id, "op6_suffix_dedup": op6_suffix_dedup, "op8_quality_rules": op8_quality_rules, "op9_virtual_slots": op9_virtual_slots}
 
 
 def oracle_sql() -> dict:
