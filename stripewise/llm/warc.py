@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_path, table
+from .shared import shared_path, stored, table
 
 # Fixed values of the format.
 END = "\r\n\r\n"
@@ -138,11 +138,12 @@ def resolve_revisits(spark: SparkSession, source: str, target: str, least: int =
     the one with the smallest page id (nulls last; then by record id) stays, others become revisit records that refer to it.
 
     Only headers are shuffled by digest, combined before: a digest that a third of all records share is one
-    row of a task. Payloads move once, with the decision on their record."""
+    row of a task. Payloads move at most once, with the decision on their record."""
     heads = read_archive(spark, source).where("kind = 'response'")
     order = F.struct(F.col("page_id").isNull(), F.col("page_id").cast(id_type), F.col("record_id"), F.col("url"), F.col("date"))
     first = heads.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.min(order).alias("o"), F.count("*").alias("n")).where("n > 1")
-    named = first.select("digest", "bytes", F.col("o.record_id").alias("refers_to"), F.col("o.url").alias("refers_url"), F.col("o.date").alias("refers_date"))
+    # stored, so that its size is known when the join is planned: payloads stay where they are unless it is too large to broadcast
+    named = stored(first.select("digest", "bytes", F.col("o.record_id").alias("refers_to"), F.col("o.url").alias("refers_url"), F.col("o.date").alias("refers_date")), "originals")
     rows = read_archive(spark, source, payload=True).drop("refers_to").join(named, ["digest", "bytes"], "left")
     revisit = F.col("refers_to").isNotNull() & (F.col("refers_to") != F.col("record_id"))
     kind = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
