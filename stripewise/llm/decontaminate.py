@@ -218,6 +218,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: l
     return out.drop("__text")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs that contain no benchmark item, with all their columns."""
+    found = leaks(docs, benchmark, text_col)
+    return found.where(F.col("__leaks").isNull() | (F.size("__leaks") == 0)).drop("__leaks")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select("doc_id", F.explode("__leaks").alias("x")).select("doc_id", "x.item_id", "x.first_word", "x.n_words", "x.similarity")

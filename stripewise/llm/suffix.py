@@ -278,8 +278,8 @@ def _by_place(rows: DataFrame, length: int) -> DataFrame:
     return places.where("n = 1").join(twice, ["h1", "h2"]).select("k1", "k2", F.col("place").alias("first"), F.col("place").alias("last"))
 
 
-def _cut(length: int):
-    """What is left of each text, from its runs of repeated places."""
+def _cut(length: int, with_text: bool):
+    """What is left of each text, from its runs of repeated places; as text without characters cut in two."""
 
     def run(batches):
         for batch in batches:
@@ -293,9 +293,9 @@ def _cut(length: int):
                         spans.append([x["first"], x["last"] + length])
                 ends = [0, *(y for x in spans for y in x), len(data)]
                 left = b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)) if spans else data
-                for k, v in enumerate((len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left)):
+                for k, v in enumerate((len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if with_text else None)):
                     out[k].append(v)
-            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.binary())], names=["k1", "k2", "n_removed", "n_spans", "kept_sha256", "left"])
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], names=["k1", "k2", "n_removed", "n_spans", "kept_sha256", "left"])
 
     return run
 
@@ -315,8 +315,9 @@ def _bucketed(texts: DataFrame) -> DataFrame:
     return spark.table(own)
 
 
-def repeats(docs: DataFrame, text, length: int = LENGTH) -> DataFrame:
-    """(k1, k2, n_removed, n_spans, kept_sha256, left) of each different text of at least ``length`` bytes."""
+def repeats(docs: DataFrame, text, length: int = LENGTH, with_text: bool = False) -> DataFrame:
+    """(k1, k2, n_removed, n_spans, kept_sha256, left) of each different text of at least ``length`` bytes; left is what
+    remains as text, null unless asked for."""
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     rows = docs.select(text.cast("string").alias("text")).where(F.octet_length("text") >= length)
@@ -336,7 +337,7 @@ def repeats(docs: DataFrame, text, length: int = LENGTH) -> DataFrame:
     if not hot.isEmpty():
         runs = runs.unionByName(_by_place(hot, length))
     gathered = runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    return texts.join(gathered, ["k1", "k2"], "left").select("k1", "k2", "text", "copies", "runs").mapInArrow(_cut(length), "k1 bigint, k2 bigint, n_removed bigint, n_spans bigint, kept_sha256 string, left binary")
+    return texts.join(gathered, ["k1", "k2"], "left").select("k1", "k2", "text", "copies", "runs").mapInArrow(_cut(length, with_text), "k1 bigint, k2 bigint, n_removed bigint, n_spans bigint, kept_sha256 string, left string")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -351,5 +352,17 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.join(cut, ["k1", "k2"], "left").select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("bigint")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("bigint")).alias("n_spans"), F.coalesce("kept_sha256", "own").alias("kept_sha256"))
 
 
+def without_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """All rows and columns of docs, ``text_col`` without its repeated bytes. Characters cut in two go. A null text stays
+    null; a text of nothing but repeats is left empty. Other columns stay as they are, whatever their names."""
+    t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    cut = repeats(docs, t, length, with_text=True).select("k1", "k2", F.col("left").alias("__left"))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    short = F.when(F.octet_length(t) < length, F.col(text_col))
+    rows = docs.select(*keys(t), F.struct(*rest, short.alias(text_col)).alias("__row"))
+    text = F.coalesce(F.col("__left"), F.col("__row").getField(text_col)).alias(text_col)
+    return rows.join(cut, ["k1", "k2"], "left").select(*[text if c == text_col else F.col("__row").getField(c).alias(c) for c in docs.columns])
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents"))

@@ -207,21 +207,21 @@ def _scoring(models: list[Linear], names: list[str]):
     return run
 
 
-def scored(docs: DataFrame, models: list[Linear], chain=CHAIN, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def scored(docs: DataFrame, models: list[Linear], chain=CHAIN, text_col: str = "text", keep: list[str] | None = None, prefix: str = "p_") -> DataFrame:
     """Columns ``keep`` of docs (all where None) with a probability p_<category> for each category of the chain.
 
     Null and empty texts have no words; their probabilities follow from the models' constants. Without models all are 0.
     Rows, repeated ones and those with null ids too, come out as they come in."""
-    names = [f"p_{n}" for n, _ in chain]
+    names = [f"{prefix}{n}" for n, _ in chain]
     kept = docs.columns if keep is None else keep
-    taken = docs.select(*[F.col(f"`{c}`") for c in kept if c not in names], F.col(text_col).cast("string").alias("__text"))
+    taken = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).cast("string").alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:-1]] + [f"`{n}` double" for n in names])
     return taken.mapInArrow(_scoring(models, names), schema)
 
 
-def rejected():
+def rejected(prefix: str = "p_"):
     """Whether a scored row is toxic, in general or severely."""
-    return F.greatest("p_toxic", "p_severe_toxic") >= THRESHOLD
+    return F.greatest(f"{prefix}toxic", f"{prefix}severe_toxic") >= THRESHOLD
 
 
 def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
