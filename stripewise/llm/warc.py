@@ -60,7 +60,7 @@ def _record(kind: Column, own: dict[str, Column], payload: Column) -> Column:
 
 
 def _written(records: DataFrame, path: str, per_file: int) -> None:
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    records.write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", per_file).text(path)
 
 
 def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "1970-01-01T00:00:00Z", per_file: int = PER_FILE) -> None:
