@@ -1,15 +1,329 @@
-"""The library's registered queries."""
+"""The library's registered queries, and SQL that gives the same from the tables they come from."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import export
+from ..operators.predicate import Predicate as P
+from ..operators.selection import RowSelection, Selector
+from ..session import work_dir
+from ..sources.metadata import OrcFile, metadata, row_count
+from ..sources.scan import paths_of, scan
+from .layouts import orc_of
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return put
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two columns of orders behind a filter that reaches the ORC scan."""
+    return scan(spark, orc_of(spark, sf_dir, "orders", "indexed", "o_orderkey"), ["o_orderkey", "o_totalprice"], predicate=P.gt("o_orderkey", 1000))
+
+
+def _orders(spark, sf_dir, layout="indexed"):
+    return orc_of(spark, sf_dir, "orders", layout, "o_orderkey")
+
+
+def _part(spark, sf_dir, layout="nullable"):
+    return orc_of(spark, sf_dir, "part", layout, "p_partkey")
+
+
+# scans
+
+
+@query("SELECT * FROM orders")
+def orc_scan_full(spark, sf_dir):
+    return scan(spark, _orders(spark, sf_dir, "plain"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders")
+def orc_scan_projection(spark, sf_dir):
+    return scan(spark, _orders(spark, sf_dir, "plain"), ["o_totalprice", "o_orderkey"])
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders")
+def orc_scan_projection_by_id(spark, sf_dir):
+    return scan(spark, _orders(spark, sf_dir, "plain"), ids=[4, 1, 99], missing="ignore")
+
+
+@query("SELECT count(*) AS n FROM orders")
+def orc_scan_empty_projection(spark, sf_dir):
+    return scan(spark, _orders(spark, sf_dir, "plain"), ["nothing"], missing="ignore").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, user_id AS a, event_type AS b, event_id AS l0, user_id AS l1, user_id AS mu, event_id AS me, value AS v, event_type AS t FROM events")
+def orc_scan_nested(spark, sf_dir):
+    df = scan(spark, orc_of(spark, sf_dir, "events", "nested"))
+    return df.select("event_id", "s.a", "s.b", F.col("l")[0].alias("l0"), F.col("l")[1].alias("l1"), F.col("m")["u"].alias("mu"), F.col("m")["e"].alias("me"), F.col("ls")[0]["v"].alias("v"), F.col("ls")[0]["t"].alias("t"))
+
+
+@query("SELECT event_id, user_id AS a, event_type AS b, event_id AS l0, user_id AS mu, value AS v FROM events")
+def orcx_scan_nested(spark, sf_dir):
+    df = scan(spark, orc_of(spark, sf_dir, "events", "nested"), row_index=True)
+    return df.select("event_id", "s.a", "s.b", F.col("l")[0].alias("l0"), F.col("m")["u"].alias("mu"), F.col("ls")[0]["v"].alias("v"))
+
+
+@query("SELECT r_regionkey AS k, r_name AS label FROM region")
+def orc_scan_schema_override(spark, sf_dir):
+    return scan(spark, orc_of(spark, sf_dir, "region", "indexed", "r_regionkey"), names=["k", "label"])
+
+
+@query("SELECT * FROM part")
+def orc_scan_byte_range(spark, sf_dir):
+    path = _part(spark, sf_dir, "striped")
+    size = len(OrcFile(paths_of(spark, path)[0]).source)
+    halves = [scan(spark, path, byte_range=r) for r in ((0, size // 2), (size // 2, size))]
+    return halves[0].unionByName(halves[1])
+
+
+@query("SELECT count(*) AS n FROM orders")
+def orc_row_count(spark, sf_dir):
+    return row_count(spark, _orders(spark, sf_dir, "plain"))
+
+
+@query("SELECT o_orderkey, o_orderkey - min(o_orderkey) OVER () AS d, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index FROM orders")
+def orc_row_index(spark, sf_dir):
+    df = scan(spark, _orders(spark, sf_dir, "striped"), ["o_orderkey"], row_index=True)
+    low = df.agg(F.min("o_orderkey").alias("low"))
+    return df.join(F.broadcast(low)).select("o_orderkey", (F.col("o_orderkey") - F.col("low")).alias("d"), "row_index")
+
+
+@query("SELECT o_orderkey, (epoch_us(o_orderdate) // 1000000)::DECIMAL(38,9)::VARCHAR AS seconds FROM orders")
+def ts_decimal(spark, sf_dir):
+    path = f"{work_dir(spark)}/orc-ts-{abs(hash(sf_dir))}"
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.date_trunc("second", F.col("o_orderdate").cast("timestamp")).alias("seconds"))
+    df.coalesce(1).write.mode("overwrite").orc(path)
+    return scan(spark, path, timestamps="decimal").withColumn("seconds", F.col("seconds").cast("string"))
+
+
+# writing
+
+_FLAT_SQL = """SELECT o_orderkey AS i64, o_orderkey::INT AS i32, (o_orderkey % 30000)::SMALLINT AS i16, (o_orderkey % 100)::TINYINT AS i8,
+o_totalprice AS f64, (o_orderkey % 1000 / 4.0)::FLOAT AS f32, o_orderkey % 2 = 0 AS flag, o_orderpriority AS text, hex(encode(o_orderstatus)) AS bytes,
+o_orderdate::DATE::VARCHAR AS day, (o_orderkey % 100000)::DECIMAL(15,5)::VARCHAR AS dec FROM orders"""
+
+
+def _readable(df):
+    """Bytes, days and decimals as text, which every engine compares alike."""
+    return df.withColumns({"bytes": F.hex("bytes"), "day": F.col("day").cast("string"), "dec": F.col("dec").cast("string")})
+
+
+@query(_FLAT_SQL)
+def orc_write_roundtrip(spark, sf_dir):
+    return _readable(scan(spark, _orders(spark, sf_dir, "flat")))
+
+
+@query(_FLAT_SQL)
+def orc_write_small_stripes(spark, sf_dir):
+    return _readable(scan(spark, orc_of(spark, sf_dir, "orders", "flat_striped", "i64")))
+
+
+@query("SELECT c AS codec, n_nationkey, n_name, n_regionkey FROM nation, (VALUES ('none'), ('snappy'), ('zlib'), ('lzo'), ('zstd'), ('lz4')) t(c)")
+def orc_codecs(spark, sf_dir):
+    out = None
+    for c in ("none", "snappy", "zlib", "lzo", "zstd", "lz4"):
+        df = scan(spark, orc_of(spark, sf_dir, "nation", f"codec_{c}")).select(F.lit(c).alias("codec"), "*")
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+# exact predicates
+
+
+def _predicate(name: str, make: Callable[[], P], where: str) -> None:
+    def run(spark, sf_dir):
+        return scan(spark, _part(spark, sf_dir), ["p_partkey", "p_size", "p_mark"], predicate=make())
+
+    run.__name__ = name
+    query(f"SELECT p_partkey, p_size, p_mark FROM (SELECT *, nullif(p_size % 7, 0) AS p_mark FROM part) WHERE {where}")(run)
+
+
+_predicate("pred_eq", lambda: P.eq("p_size", 5), "p_size = 5")
+_predicate("pred_ne", lambda: P.ne("p_mark", 3), "p_mark <> 3")
+_predicate("pred_lt", lambda: P.lt("p_size", 10), "p_size < 10")
+_predicate("pred_lte", lambda: P.lte("p_size", 10), "p_size <= 10")
+_predicate("pred_gt", lambda: P.gt("p_retailprice", 1200.0), "p_retailprice > 1200")
+_predicate("pred_gte", lambda: P.gte("p_brand", "Brand#3"), "p_brand >= 'Brand#3'")
+_predicate("pred_is_null", lambda: P.is_null("p_mark"), "p_mark IS NULL")
+_predicate("pred_is_not_null", lambda: P.is_not_null("p_mark"), "p_mark IS NOT NULL")
+_predicate("pred_and", lambda: P.all_of(P.gt("p_size", 10), P.lt("p_size", 20), P.is_not_null("p_mark")), "p_size > 10 AND p_size < 20 AND p_mark IS NOT NULL")
+_predicate("pred_or", lambda: P.any_of(P.eq("p_size", 1), P.gt("p_size", 45)), "p_size = 1 OR p_size > 45")
+_predicate("pred_not", lambda: P.negation(P.any_of(P.lt("p_size", 10), P.negation(P.is_null("p_mark")))), "NOT (p_size < 10 OR NOT (p_mark IS NULL))")
+
+
+# pruning: whole row groups of 1000 rows
+
+_GROUPS = "WITH g AS (SELECT *, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS grp FROM orders), s AS (SELECT grp, min(o_orderkey) AS a, max(o_orderkey) AS b, min(o_totalprice) AS c, max(o_totalprice) AS d FROM g GROUP BY grp) SELECT o_orderkey, o_totalprice FROM g JOIN s USING (grp) WHERE "
+
+
+@query(_GROUPS + "b > 12500 AND c < 2000 OR a <= 3000 AND b >= 3000")
+def prune_row_groups(spark, sf_dir):
+    p = P.any_of(P.all_of(P.gt("o_orderkey", 12500), P.lt("o_totalprice", 2000.0)), P.eq("o_orderkey", 3000))
+    return scan(spark, _orders(spark, sf_dir), ["o_orderkey", "o_totalprice"], predicate=p, prune_only=True)
+
+
+@query(_GROUPS + "a <= 4321 AND b >= 4321 AND EXISTS (SELECT 1 FROM orders WHERE o_orderkey = 4321)")
+def bloom_prune(spark, sf_dir):
+    return scan(spark, _orders(spark, sf_dir, "bloomed"), ["o_orderkey", "o_totalprice"], predicate=P.eq("o_orderkey", 4321), prune_only=True)
+
+
+@query("SELECT n_name, true AS might_contain FROM nation")
+def bloom_might_contain(spark, sf_dir):
+    path = orc_of(spark, sf_dir, "nation", "bloomed", "n_nationkey")
+    file = OrcFile(paths_of(spark, path)[0])
+    filters = [b for s in file.stripes for b in s.blooms(file.column("n_name").id)]
+    names = [r["n_name"] for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name").collect()]
+    return spark.createDataFrame([(n, any(b.might_contain(n, "string") for b in filters)) for n in names], "n_name string, might_contain boolean")
+
+
+# selections by position
+
+_ROWS = "SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS rn FROM orders) WHERE "
+
+
+def _selected(spark, sf_dir, selection):
+    return scan(spark, _orders(spark, sf_dir, "striped"), ["o_orderkey", "o_totalprice"], selection=selection)
+
+
+def _rows(spark, sf_dir) -> int:
+    return OrcFile(paths_of(spark, _orders(spark, sf_dir, "striped"))[0]).rows
+
+
+@query(_ROWS + "rn BETWEEN 100 AND 149 OR rn BETWEEN 900 AND 1299")
+def rowsel_skip_select(spark, sf_dir):
+    return _selected(spark, sf_dir, RowSelection.from_selectors([Selector.skip_rows(100), Selector.select(50), Selector.skip_rows(750), Selector.select(400)]))
+
+
+@query(_ROWS + "rn < 10 OR rn BETWEEN 500 AND 599 OR rn BETWEEN 1400 AND 1499")
+def rowsel_ranges(spark, sf_dir):
+    return _selected(spark, sf_dir, RowSelection.from_consecutive_ranges([(0, 10), (500, 600), (1400, 1500)], _rows(spark, sf_dir)))
+
+
+@query(_ROWS + "rn % 3 = 0")
+def rowsel_from_filters(spark, sf_dir):
+    n = _rows(spark, sf_dir)
+    return _selected(spark, sf_dir, RowSelection.from_filters([[k % 3 == 0 for k in range(n)]]))
+
+
+@query(_ROWS + "rn BETWEEN 250 AND 299 OR rn BETWEEN 600 AND 649")
+def rowsel_and_then(spark, sf_dir):
+    first = RowSelection([(200, 300), (600, 800)], _rows(spark, sf_dir))
+    return _selected(spark, sf_dir, first.and_then(RowSelection([(50, 150)], first.selected_row_count)))
+
+
+@query(_ROWS + "rn BETWEEN 2000 AND 2099 AND o_orderkey <> 0")
+def rowsel_with_predicate(spark, sf_dir):
+    return scan(spark, _orders(spark, sf_dir, "striped"), ["o_orderkey", "o_totalprice"], selection=RowSelection([(2000, 2100)], _rows(spark, sf_dir)), predicate=P.ne("o_orderkey", 0))
+
+
+@query("SELECT 1000::BIGINT AS row_count, 250::BIGINT AS selected, 750::BIGINT AS skipped, true AS any_selected")
+def rowsel_counts(spark, sf_dir):
+    s = RowSelection([(0, 100), (500, 650)], 1000)
+    return spark.createDataFrame([(s.row_count, s.selected_row_count, s.skipped_row_count, s.selects_any)], "row_count bigint, selected bigint, skipped bigint, any_selected boolean")
+
+
+# metadata against the data it describes
+
+
+@query("""SELECT 'o_orderkey' AS name, count(o_orderkey) AS n_values, min(o_orderkey)::VARCHAR AS min, max(o_orderkey)::VARCHAR AS max, sum(o_orderkey)::VARCHAR AS sum FROM orders
+UNION ALL SELECT 'o_custkey', count(o_custkey), min(o_custkey)::VARCHAR, max(o_custkey)::VARCHAR, sum(o_custkey)::VARCHAR FROM orders
+UNION ALL SELECT 'o_orderstatus', count(o_orderstatus), min(o_orderstatus), max(o_orderstatus), sum(octet_length(encode(o_orderstatus)))::VARCHAR FROM orders
+UNION ALL SELECT 'o_orderpriority', count(o_orderpriority), min(o_orderpriority), max(o_orderpriority), sum(octet_length(encode(o_orderpriority)))::VARCHAR FROM orders""")
+def stats_file_columns(spark, sf_dir):
+    df = metadata(spark, _orders(spark, sf_dir), "column_statistics").where("stripe is null")
+    return df.where(F.col("name").isin("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")).select("name", "n_values", "min", "max", "sum")
+
+
+@query("SELECT count(p_mark) AS n_values, bool_or(p_mark IS NULL) AS has_null, min(p_mark)::VARCHAR AS min, max(p_mark)::VARCHAR AS max FROM (SELECT nullif(p_size % 7, 0) AS p_mark FROM part)")
+def stats_nulls(spark, sf_dir):
+    df = metadata(spark, _part(spark, sf_dir), "column_statistics").where("stripe is null and name = 'p_mark'")
+    return df.select("n_values", "has_null", "min", "max")
+
+
+@query("SELECT count(*) AS n_values, min(o_orderkey)::VARCHAR AS min, max(o_orderkey)::VARCHAR AS max FROM orders")
+def stats_stripe_columns(spark, sf_dir):
+    df = metadata(spark, _orders(spark, sf_dir, "striped"), "column_statistics").where("stripe is not null and name = 'o_orderkey'")
+    return df.agg(F.sum("n_values").cast("bigint").alias("n_values"), F.min(F.col("min").cast("bigint")).cast("string").alias("min"), F.max(F.col("max").cast("bigint")).cast("string").alias("max"))
+
+
+@query("""WITH g AS (SELECT *, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS row_group FROM orders)
+SELECT row_group::BIGINT AS row_group, count(*) AS n_values, min(o_orderkey)::VARCHAR AS min, max(o_orderkey)::VARCHAR AS max FROM g GROUP BY row_group""")
+def row_group_stats(spark, sf_dir):
+    return metadata(spark, _orders(spark, sf_dir), "row_groups").where("name = 'o_orderkey'").select("row_group", "n_values", "min", "max")
+
+
+@query("SELECT count(*)::BIGINT AS n_rows, true AS several FROM orders")
+def stripes(spark, sf_dir):
+    df = metadata(spark, _orders(spark, sf_dir, "striped"), "stripes")
+    return df.agg(F.sum("rows").cast("bigint").alias("n_rows"), (F.count("*") >= 1).alias("several"))
+
+
+@query()
+def layout(spark, sf_dir):
+    return metadata(spark, _orders(spark, sf_dir, "bloomed"), "streams").drop("path")
+
+
+@query()
+def encodings(spark, sf_dir):
+    return metadata(spark, _orders(spark, sf_dir), "encodings").drop("path")
+
+
+@query("SELECT count(*) AS n, 'zstd' AS compression, 1000::BIGINT AS stride FROM orders")
+def file_info(spark, sf_dir):
+    return metadata(spark, _orders(spark, sf_dir), "files").select(F.col("rows").alias("n"), "compression", "stride")
+
+
+# exports, read back
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def export_columns(spark, sf_dir):
+    out = f"{work_dir(spark)}/export-csv-{abs(hash(sf_dir))}"
+    export.write(scan(spark, orc_of(spark, sf_dir, "nation"), ["n_name", "n_nationkey"]), out, "csv", mode="overwrite")
+    return spark.read.schema("n_nationkey int, n_name string").option("header", True).csv(out)
+
+
+@query("SELECT p_partkey, p_mark FROM (SELECT *, nullif(p_size % 7, 0) AS p_mark FROM part)")
+def export_json(spark, sf_dir):
+    out = f"{work_dir(spark)}/export-json-{abs(hash(sf_dir))}"
+    export.write(scan(spark, _part(spark, sf_dir), ["p_partkey", "p_mark"]), out, "json", mode="overwrite")
+    return spark.read.schema("p_partkey bigint, p_mark int").json(out)
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 25")
+def export_limit(spark, sf_dir):
+    df = scan(spark, _orders(spark, sf_dir, "striped"), ["o_orderkey", "o_orderpriority"], selection=RowSelection([(0, 25)], _rows(spark, sf_dir)))
+    return df
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_id < 1000")
+def orc_stream(spark, sf_dir):
+    from ..streaming.orc_stream import stream
+
+    path = orc_of(spark, sf_dir, "events", "indexed", "event_id")
+    name = f"orc_stream_{abs(hash(path))}"
+    q = stream(spark, path, predicate=P.lt("event_id", 1000)).select("event_id", "user_id").writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
