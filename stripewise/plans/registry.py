@@ -233,9 +233,9 @@ def rowsel_and_then(spark, sf_dir):
     return _selected(spark, sf_dir, first.and_then(RowSelection([(50, 150)], first.selected_row_count)))
 
 
-@query(_ROWS + "rn BETWEEN 2000 AND 2099 AND o_orderkey <> 0")
+@query(_ROWS + "rn BETWEEN 1000 AND 1099 AND o_orderkey <> 0")
 def rowsel_with_predicate(spark, sf_dir):
-    return scan(spark, _orders(spark, sf_dir, "striped"), ["o_orderkey", "o_totalprice"], selection=RowSelection([(2000, 2100)], _rows(spark, sf_dir)), predicate=P.ne("o_orderkey", 0))
+    return scan(spark, _orders(spark, sf_dir, "striped"), ["o_orderkey", "o_totalprice"], selection=RowSelection([(1000, 1100)], _rows(spark, sf_dir)), predicate=P.ne("o_orderkey", 0))
 
 
 @query("SELECT 1000::BIGINT AS row_count, 250::BIGINT AS selected, 750::BIGINT AS skipped, true AS any_selected")
