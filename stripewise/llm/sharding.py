@@ -36,26 +36,40 @@ def first_map(sizes: dict[int, int], shards: int, slots: int = SLOTS) -> dict[in
     return out
 
 
-def edited_map(old: dict[int, int], sizes: dict[int, int], shards: int) -> dict[int, int]:
-    """The old map with as few moves as bring every shard near the mean: slots go from the fullest shard to the
-    emptiest while that narrows the gap between the two. New shards start empty; no shard may have gone."""
+def edited_map(old: dict[int, int], sizes: dict[int, int], shards: int, slack: float = 0.02) -> dict[int, int]:
+    """The old map with few moves. New shards take slots from the fullest ones until they have their share, and slots move
+    nowhere else for that. Then, while the fullest and the emptiest shard are apart by more than ``slack`` of
+    the mean, a slot moves from the one to the other that narrows the gap. No shard may have gone."""
     out, held, own = dict(old), [0] * shards, [set() for _ in range(shards)]
     for slot, shard in old.items():
         held[shard] += sizes.get(slot, 0)
         own[shard].add(slot)
-    while True:
-        top, low = max(range(shards), key=lambda k: (held[k], -k)), min(range(shards), key=lambda k: (held[k], k))
-        gap = held[top] - held[low]
-        fits = [s for s in own[top] if 0 < sizes.get(s, 0) < gap]
-        if not fits:
-            return out
-        slot = min(fits, key=lambda s: (abs(2 * sizes[s] - gap), s))
+    mean = sum(held) / shards
+    new = set(range(max(old.values(), default=-1) + 1, shards))
+
+    def move(slot: int, top: int, low: int) -> None:
         own[top].remove(slot)
         own[low].add(slot)
         held[top] -= sizes[slot]
         held[low] += sizes[slot]
         out[slot] = low
 
+    for low in sorted(new):
+        while True:
+            tops = sorted((k for k in range(shards) if k not in new and held[k] > 0), key=lambda k: (-held[k], k))
+            fits = next((f for k in tops if (f := [s for s in own[k] if 0 < sizes.get(s, 0) <= mean - held[low]])), [])
+            if not fits:
+                break
+            top = out[fits[0]]
+            move(max(fits, key=lambda s: (sizes[s] <= held[top] - mean, sizes[s], -s)), top, low)
+    while True:
+        top, low = max(range(shards), key=lambda k: (held[k], -k)), min(range(shards), key=lambda k: (held[k], k))
+        gap = held[top] - held[low]
+        fits = [s for s in own[top] if 0 < sizes.get(s, 0) < gap] if gap > slack * mean else []
+        if not fits:
+            return out
+        move(min(fits, key=lambda s: (abs(2 * sizes[s] - gap), s)), top, low)
+
 
 def slot_bytes(rows: DataFrame) -> dict[int, int]:
     """Bytes of each slot: at most as many rows come to the driver as there are slots."""
