@@ -25,8 +25,9 @@ FOLDS = 5
 #: Hash buckets of words; words of a category's model, and how far (in standard errors) a word's mean shares must be apart.
 BUCKETS = 1 << 20
 WORDS = 128
+LEAST_DOCS = 3
 APART = 5.0
-PENALTY = 0.3
+PENALTY = 0.03
 #: Beginnings of words that count as features, and the share of a text's words at which a feature is full.
 HEADS = (4, 5)
 RATE = 0.02
@@ -95,7 +96,7 @@ def _chosen(lists: list[tuple], y: np.ndarray) -> np.ndarray:
     (d1, s1, q1), (d0, s0, q0) = sums(1), sums(0)
     spread = (q1 + q0) / (n1 + n0) - ((s1 + s0) / (n1 + n0)) ** 2
     z = np.abs(s1 / n1 - s0 / n0) / np.sqrt(np.maximum(spread * (1 / n1 + 1 / n0), 1e-12))
-    z[(d1 + d0 < 5) | (z < APART)] = 0
+    z[(d1 + d0 < LEAST_DOCS) | (z < APART)] = 0
     top = np.argsort(-z, kind="stable")[:WORDS]
     return np.sort(top[z[top] > 0])
 
