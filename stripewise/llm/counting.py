@@ -115,7 +115,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     folder = shared_path(docs.sparkSession, "flat")
     folder = folder if "://" in folder else "file://" + folder
     manifest = write_flat(docs, folder, id_col, text_col, path)
-    return manifest.join(counted(manifest, folder, block=block), ["file", "ordinal"]).select("doc_id", "n_tokens")
+    # the manifest packs so well that its files look small enough to broadcast; its rows are not
+    return manifest.hint("merge").join(counted(manifest, folder, block=block), ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
