@@ -49,8 +49,15 @@ def write(
         out = out.option("orc.row.index.stride", stride).option("orc.create.index", str(stride > 0).lower())
     if bloom := list(bloom_columns):
         out = out.option("orc.bloom.filter.columns", ",".join(bloom)).option("orc.bloom.filter.fpp", bloom_fpp)
-    if batch_rows:
-        df.sparkSession.conf.set("spark.sql.orc.columnarWriterBatchSize", batch_rows)
     if by := list(partition_by):
         out = out.partitionBy(*by)
-    out.orc(path)
+    if not batch_rows:
+        out.orc(path)
+        return
+    conf, key = df.sparkSession.conf, "spark.sql.orc.columnarWriterBatchSize"
+    before = conf.get(key)
+    conf.set(key, str(batch_rows))
+    try:
+        out.orc(path)
+    finally:
+        conf.set(key, before)
