@@ -21,25 +21,21 @@ BATCH = 8192
 
 
 def paths_of(spark: SparkSession, path: str | Iterable[str]) -> list[str]:
-    """The ORC files of one or more paths, sorted. Only for scans by position, whose plan is made of stripes."""
+    """The files of one or more paths, sorted, from Spark's own listing on the driver; no job runs."""
     given = [path] if isinstance(path, str) else list(path)
-    out: list[str] = []
-    for p in given:
-        out += [r["path"] for r in listed(spark, p, "*").where("length > 0").collect() if not r["path"].rsplit("/", 1)[-1].startswith(("_", "."))]
-    return sorted(out)
+    return sorted(f for p in given for f in listed(spark, p, "*").inputFiles())
 
 
 def first_schema(spark: SparkSession, path: str | Iterable[str]):
-    """The ORC type tree of one file of a path; None without files, or where its codec is one that only Spark reads."""
-    given = [path] if isinstance(path, str) else list(path)
-    for p in given:
-        low = listed(spark, p, "*.orc").where("length > 0").agg(F.min("path").alias("p")).first()["p"] or next(iter(paths_of(spark, p)), None)
-        if low:
-            try:
-                return OrcFile(low).schema
-            except OrcFormatError as e:
-                if e.kind != "Unsupported":
-                    raise
+    """The ORC type tree of the first file of a path that has rows; None without one, or where its codec is one that only Spark reads."""
+    for f in paths_of(spark, path):
+        try:
+            return OrcFile(f).schema
+        except OrcFormatError as e:
+            if e.kind == "Unsupported":
+                return None
+            if e.kind != "EmptyFile":
+                raise
     return None
 
 
