@@ -323,7 +323,8 @@ def repeats(docs: DataFrame, text, length: int = LENGTH, with_text: bool = False
     rows = docs.select(text.cast("string").alias("text")).where(F.octet_length("text") >= length)
     texts = _bucketed(rows.select(*keys(F.col("text")), "text").groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies")))
     found = texts.select("k1", "k2", "text").mapInArrow(_find_anchors(length), _ANCHORS)
-    shared = found.select("kh").groupBy("kh").agg(F.count("*").alias("c")).where("c > 1").select("kh")
+    # stored, so that the join below reads plain shuffles, whose skewed partitions Spark can split
+    shared = stored(found.select("kh").groupBy("kh").agg(F.count("*").alias("c")).where("c > 1").select("kh"), "shared")
     anchors_ = stored(found.join(shared, "kh", "left_semi"), "anchors")
     regions = stored(anchors_.groupBy("kh", "rh").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "a", "back", "span")).alias("x")), "regions")
     mixed = regions.groupBy("kh").agg(F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1 and least = 1").select("kh")
