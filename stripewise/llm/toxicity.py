@@ -71,16 +71,20 @@ class Linear:
         return _matrix(lists, self.words) @ self.weights + dense @ self.dense + self.bias
 
 
+#: Documents whose features are put together at a time.
+TOGETHER = 4_000
+
+
 def _matrix(lists: list[tuple], words: np.ndarray) -> np.ndarray:
     """Values of some word buckets, sorted, in each document (ids, values); the larger where words share a bucket."""
     out = np.zeros((len(lists), words.size), np.float64)
-    if words.size and lists:
-        ids = np.concatenate([x[0] for x in lists])
-        values = np.concatenate([x[1] for x in lists])
-        rows = np.repeat(np.arange(len(lists)), [x[0].size for x in lists])
+    for low in range(0, len(lists) if words.size else 0, TOGETHER):
+        part = lists[low : low + TOGETHER]
+        ids = np.concatenate([x[0] for x in part])
         at = np.minimum(np.searchsorted(words, ids), words.size - 1)
-        there = words[at] == ids
-        np.maximum.at(out, (rows[there], at[there]), values[there])
+        there = np.flatnonzero(words[at] == ids)
+        rows = np.searchsorted(np.cumsum([x[0].size for x in part]), there, side="right")
+        np.maximum.at(out, (low + rows, at[there]), np.concatenate([x[1] for x in part])[there])
     return out
 
 
@@ -89,9 +93,13 @@ def _chosen(lists: list[tuple], y: np.ndarray) -> np.ndarray:
     n1, n0 = y.sum(), (1 - y).sum()
 
     def sums(c):
+        out = np.zeros((3, BUCKETS))
         own = [x for x, v in zip(lists, y, strict=True) if v == c]
-        ids, values = (np.concatenate([x[k] for x in own]) for k in (0, 1))
-        return np.bincount(ids, minlength=BUCKETS), np.bincount(ids, values, BUCKETS), np.bincount(ids, values**2, BUCKETS)
+        for low in range(0, len(own), TOGETHER):
+            ids, values = (np.concatenate([x[k] for x in own[low : low + TOGETHER]]) for k in (0, 1))
+            for k in range(3):
+                out[k] += np.bincount(ids, values.astype(np.float64) ** k, BUCKETS)
+        return out
 
     (d1, s1, q1), (d0, s0, q0) = sums(1), sums(0)
     spread = (q1 + q0) / (n1 + n0) - ((s1 + s0) / (n1 + n0)) ** 2
@@ -152,7 +160,7 @@ def probabilities(models: list[Linear], lists: list[tuple], measures: np.ndarray
 
 def _extract(batches):
     for batch in batches:
-        got = [features(x) for x in batch.column("text").to_pylist()]
+        got = [features(x) for x in batch.column("text").to_pylist()]  # of the sample only
         arrays = [batch.column("h"), batch.column("y"), pa.array([x[0].astype(np.int32) for x in got], pa.list_(pa.int32())), pa.array([x[1].astype(np.float32) for x in got], pa.list_(pa.float32())), pa.array([x[2] for x in got], pa.list_(pa.float64()))]
         yield pa.RecordBatch.from_arrays(arrays, names=["h", "y", "ids", "shares", "measures"])
 
