@@ -10,7 +10,7 @@ are told apart by refinement, coarse to fine, and only those still in a shared b
 2. Shared buckets are split by the hash of the whole region that the anchor's places cover. A
    region found twice repeats as a whole, and counts as one from here on, however many copies it has.
 3. What is left (ends of matches, edits) is refined by place: buckets of 8-grams are sorted by the bucket of
-   the place 8 bytes later, those of 16-grams by the bucket 16 bytes later and so on up to ``length``; each
+   the places 8 and 16 bytes later, those of 24-grams by the buckets 24 and 48 bytes later and so on up to ``length``; each
    round reuses the bucket identifiers of the round before.
 
 Buckets with more members than one task should hold are counted by place instead (``_by_place``).
@@ -34,7 +34,7 @@ WINDOW = 168
 #: Bytes of a text that are hashed at a time.
 CHUNK = 1 << 18
 #: Bytes of contexts that are refined together, and contexts of one bucket that one task refines.
-TOGETHER = 4 << 20
+TOGETHER = 1 << 20
 MOST = 16_000
 
 _POS = (1 << 20) - 1
@@ -182,9 +182,15 @@ def refined(data: np.ndarray, length: int) -> np.ndarray:
         size *= 2
     bucket = _bucket_numbers(grams)
     while size < length:
-        step = min(size, length - size)
-        bucket = _bucket_numbers((bucket[:-step] << 32) | bucket[step:])
-        size += step
+        width = int(bucket.max()).bit_length()
+        parts = 3 if 3 * width <= 63 and length > 2 * size else 2  # as many identifiers as fit a key
+        whole = min(length, parts * size)
+        steps = [min(k * size, whole - size) for k in range(1, parts)]
+        n = bucket.size - steps[-1]
+        key = bucket[:n]
+        for s in steps:
+            key = (key << width) | bucket[s : s + n]
+        bucket, size = _bucket_numbers(key), whole
     return bucket
 
 
