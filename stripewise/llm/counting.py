@@ -16,7 +16,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import shared_path, shuffle_partitions, stored, table
+from .shared import shared_path, shuffle_partitions, sliced, stored, table
 from .tokens import default_path, encoder
 
 #: End-of-document id of the vocabulary; no ordinary text has it.
@@ -32,7 +32,7 @@ def _writing(path: str, folder: str):
         system, base = fs.FileSystem.from_uri(folder)
         system.create_dir(base, recursive=True)
         out, name, ordinal = None, None, 0
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 if out is None or out.tell() >= FILE_BYTES:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stored, table
+from .shared import sliced, stored, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -178,7 +178,7 @@ def _searching(items: list[tuple[int, str | None]]):
 
     def run(batches):
         index = Index(items)
-        for batch in batches:
+        for batch in sliced(batches):
             before = batch.column(batch.num_columns - 1).to_pylist()
             found = []
             for text, old in zip(batch.column(batch.num_columns - 2).to_pylist(), before, strict=True):

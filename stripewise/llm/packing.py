@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stored, table
+from .shared import sliced, stored, table
 from .tokens import default_path, encoder
 
 WINDOW = 1024
@@ -33,7 +33,7 @@ VOCABULARY = 1 << 16
 def _tokenised(path: str):
     def run(batches):
         encode = encoder(path)
-        for batch in batches:
+        for batch in sliced(batches):
             found = [encode(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x.size for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=[*batch.schema.names[:-1], "n", "ids"])
 

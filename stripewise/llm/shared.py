@@ -43,6 +43,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sliced(batches, rows: int = 1000):
+    """The rows of Arrow batches in smaller ones, so that what a worker makes of a batch of texts stays small."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def text_key(text):
     """16 bytes that stand for a text; null counts as the empty text."""
     return F.unhex(F.md5(F.encode(F.coalesce(text, F.lit("")), "UTF-8")))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import keep_rows, row_key, shuffle_partitions, stored, table
+from .shared import shuffle_partitions, sliced, stored, table
 
 SEED = 42
 #: Buckets up to this size are compared lag by lag, larger ones by search trees.
@@ -48,7 +48,7 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
 
 def _fingerprints(shingle: int):
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
             marks = np.array([fingerprint(x, shingle) for x in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(marks)], names=[*batch.schema.names[:-1], "fp"])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_path, shuffle_partitions, stored, table
+from .shared import shared_path, shuffle_partitions, sliced, stored, table
 
 LENGTH = 200
 #: Places whose anchor can be one position: the window of q-gram starts.
@@ -129,7 +129,7 @@ def _find_anchors(length: int):
 
     def run(batches):
         parts, size = [], 0
-        for batch in batches:
+        for batch in sliced(batches):
             keys = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             for row, text in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
                 for block in anchors(text, length):
@@ -149,7 +149,7 @@ def _contexts(length: int):
     """Regions of the wanted anchors of each text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 100):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             for row, wanted in enumerate(batch.column("wanted").to_pylist()):
                 data, lists = texts[row], [[] for _ in range(7)]
@@ -288,7 +288,7 @@ def _cut(length: int, with_text: bool):
     """What is left of each text, from its runs of repeated places; as text without characters cut in two."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             out = [[] for _ in range(4)]
             for data, copies, runs in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("copies").to_pylist(), batch.column("runs").to_pylist(), strict=True):
                 spans: list[list[int]] = []

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import sliced, table
 
 #: Labelled documents to learn from, on average: those whose hashed id is below a bound.
 SAMPLE = 20_000
@@ -159,7 +159,7 @@ def probabilities(models: list[Linear], lists: list[tuple], measures: np.ndarray
 
 
 def _extract(batches):
-    for batch in batches:
+    for batch in sliced(batches):
         got = [features(x) for x in batch.column("text").to_pylist()]  # of the sample only
         arrays = [batch.column("h"), batch.column("y"), pa.array([x[0].astype(np.int32) for x in got], pa.list_(pa.int32())), pa.array([x[1].astype(np.float32) for x in got], pa.list_(pa.float32())), pa.array([x[2] for x in got], pa.list_(pa.float64()))]
         yield pa.RecordBatch.from_arrays(arrays, names=["h", "y", "ids", "shares", "measures"])
