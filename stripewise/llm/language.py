@@ -158,11 +158,11 @@ def learnt(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_c
     with a null language or no letter teach nothing). Vectors are summed on the executors; the driver gets one of DIMENSIONS
     numbers for each language, at most MOST_LANGUAGES, and the DENSE most frequent n-grams of at most SYMBOLS ** N."""
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
-    n = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    if n.count() > MOST_LANGUAGES:
+    n = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(n) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages; the prototypes are kept on the driver")
     # of a language with n documents those below this share of all hashes: sample on average, so none is sorted
-    share = {r["lang"]: min(1.0, sample / r["n"]) for r in n.collect()}
+    share = {r["lang"]: min(1.0, sample / r["n"]) for r in n}
     if not share:
         return {"langs": [], "vectors": [], "dense": []}
     limits = F.element_at(F.from_json(F.lit(json.dumps(share)), "map<string, double>"), F.col("lang"))

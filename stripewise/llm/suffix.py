@@ -318,7 +318,9 @@ def _bucketed(texts: DataFrame) -> DataFrame:
     n = shuffle_partitions(spark)
     own = "texts_" + name.rpartition("-")[2]
     texts.write.bucketBy(n, "k1", "k2").option("path", name).option("compression", "zstd").format("parquet").saveAsTable(own)
-    return spark.table(own)
+    out = spark.table(own)
+    spark.sql(f"DROP TABLE {own}")  # the catalog's entry; the files at ``path`` stay for out
+    return out
 
 
 def repeats(docs: DataFrame, text, length: int = LENGTH, with_text: bool = False) -> DataFrame:
