@@ -23,11 +23,12 @@ WINDOW = 1024
 END = 0
 #: Tokens of a shard: about 3000 documents; a task holds one shard.
 SHARD_TOKENS = 4_000_000
-#: BM25's parameters; terms of a query (those with the largest weight in the seed); neighbours that a search returns.
+#: BM25's parameters; neighbours that a search returns.
 K1, B = 1.2, 0.75
-TERMS = 24
 NEIGHBOURS = 8
 VOCABULARY = 1 << 16
+#: Documents of a shard up to which all scores are computed together, so many seeds at a time; ids in a share of its documents above RARE go by matrix.
+TOGETHER, SEEDS, RARE = 4096, 512, 1 / 128
 
 
 def _tokenised(path: str):
@@ -80,8 +81,7 @@ class Index:
             good = idf[t] > 0
             t, n = t[good], n[good]
             w = idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * ids.size / mean))
-            top = np.argpartition(-w, TERMS)[:TERMS] if t.size > TERMS else np.arange(t.size)
-            self.queries.append(t[top].astype(np.int64))
+            self.queries.append(t.astype(np.int64))
             tokens.append(t)
             owners.append(np.full(t.size, k, np.int32))
             weights.append(w.astype(np.float32))
@@ -91,13 +91,45 @@ class Index:
         self.weights = np.concatenate(weights)[order] if tokens else np.empty(0, np.float32)
         self.bounds = np.searchsorted(token[order], np.arange(VOCABULARY + 1))
         self.unused = np.ones(len(docs), bool)
+        self.scores = self._all() if 0 < len(docs) <= TOGETHER else None
+
+    def _all(self) -> np.ndarray:
+        """Scores of all documents for all seeds: ids that many documents have by a product of matrices, the others by postings."""
+        n, df = self.unused.size, np.diff(self.bounds)
+        often = np.flatnonzero(df > RARE * n)
+        often = np.sort(often[np.argsort(-df[often], kind="stable")[: TOGETHER * TOGETHER // n]])
+        place = np.full(VOCABULARY, -1, np.int64)
+        place[often] = np.arange(often.size)
+        at = np.repeat(place, df)
+        there = at >= 0
+        weights = np.zeros((often.size, n), np.float32)
+        weights[at[there], self.docs[there]] = self.weights[there]
+        out = np.empty((n, n), np.float32)
+        for low in range(0, n, SEEDS):
+            own = self.queries[low : low + SEEDS]
+            seed, term = np.repeat(np.arange(len(own)), [t.size for t in own]), np.concatenate(own)
+            column = place[term]
+            asked = np.zeros((len(own), often.size), np.float32)
+            asked[seed[column >= 0], column[column >= 0]] = 1
+            part = asked @ weights
+            seed, term = seed[column < 0], term[column < 0]
+            size = df[term]
+            posting = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.bounds[term], size)
+            np.add.at(part, (np.repeat(seed, size), self.docs[posting]), self.weights[posting])
+            out[low : low + SEEDS] = part
+        return out
+
+    def _of(self, seed: int) -> np.ndarray:
+        if self.scores is not None:
+            return self.scores[seed].copy()
+        spans = [(self.bounds[t], self.bounds[t + 1]) for t in self.queries[seed].tolist()]
+        if not spans:
+            return np.zeros(self.unused.size)
+        return np.bincount(np.concatenate([self.docs[a:b] for a, b in spans]), np.concatenate([self.weights[a:b] for a, b in spans]), self.unused.size)
 
     def neighbours(self, seed: int) -> list[int]:
         """Unused documents that share terms with the seed, the best first (ties: the first in the shard)."""
-        spans = [(self.bounds[t], self.bounds[t + 1]) for t in self.queries[seed].tolist()]
-        if not spans:
-            return []
-        scores = np.bincount(np.concatenate([self.docs[a:b] for a, b in spans]), np.concatenate([self.weights[a:b] for a, b in spans]), self.unused.size)
+        scores = self._of(seed)
         scores[~self.unused] = 0
         k = min(NEIGHBOURS, scores.size)
         top = np.argpartition(-scores, k - 1)[:k]

@@ -113,3 +113,26 @@ def test_scores_are_bm25():
     index.unused[0] = False
     want = sorted((k for k in range(1, 4) if score(docs[0], docs[k]) > 0), key=lambda k: -score(docs[0], docs[k]))
     assert index.neighbours(0) == want
+
+
+def test_all_terms_of_a_seed_count():
+    """The last document shares the seed's light terms only, but so many of them that it is the best."""
+    heavy, light = np.arange(1, 41, dtype=np.uint16), np.arange(41, 141, dtype=np.uint16)
+    docs = [np.r_[heavy, light], np.r_[heavy[:2], np.arange(200, 298, dtype=np.uint16)], light]
+    idf = np.ones(packing.VOCABULARY, np.float32)
+    idf[heavy] = 3
+    index = packing.Index(docs, idf, 100.0)
+    index.unused[0] = False
+    assert index.neighbours(0) == [2, 1]
+
+
+def test_scores_by_matrix_are_those_by_postings(monkeypatch):
+    rng = np.random.default_rng(4)
+    docs = [(rng.zipf(1.3, rng.integers(0, 400)) % 3000).astype(np.uint16) for _ in range(700)]
+    idf = rng.random(packing.VOCABULARY).astype(np.float32)
+    both = packing.Index(docs, idf, 200.0)
+    monkeypatch.setattr(packing, "TOGETHER", 0)
+    plain = packing.Index(docs, idf, 200.0)
+    assert both.scores is not None and plain.scores is None
+    for k in range(700):
+        np.testing.assert_allclose(both._of(k), plain._of(k), rtol=1e-4, atol=1e-4)
