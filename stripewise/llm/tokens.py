@@ -7,10 +7,13 @@ special tokens in a text are ordinary text. ``path`` is the vocabulary as ranks
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 
 _KEPT: dict = {}
+#: White space (the pattern's, which has not Python's U+001C to U+001F) that is cut out before the pattern sees a text that it gave up on.
+_RUN = re.compile(r"[^\S\x1c-\x1f]{1000,}")
 
 
 def default_path() -> str:
@@ -36,16 +39,32 @@ def encoder(path: str):
                 return np.empty(0, np.uint16)
             try:
                 return bpe.encode_to_numpy(text, disallowed_special=()).astype(np.uint16)
-            except Exception:  # the pattern gave up on one very long run of white space; cut where a cut changes no id
-                return _in_parts(bpe, text)
+            except Exception:  # the pattern gave up on one very long run of white space
+                return _by_runs(bpe, text)
 
         _KEPT[path] = encode
     return _KEPT[path]
 
 
+def _by_runs(bpe, text: str) -> np.ndarray:
+    """Ids of a text whose long runs of white space the pattern cannot take. Before another character, all of a run but its last is one
+    piece of its own (``\\s+(?!\\S)``); at the end of the text all of it is. The last goes with what follows."""
+    out, low = [], 0
+    for m in _RUN.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        out += [_in_parts(bpe, text[low : m.start()]), _blank_ids(bpe, text[m.start() : end])]
+        low = end
+    return np.concatenate([*out, _in_parts(bpe, text[low:])])
+
+
+def _blank_ids(bpe, run: str) -> np.ndarray:
+    """Ids of one piece of white space, which the pattern is not asked about."""
+    return np.array(bpe._encode_single_piece(run), np.uint16)
+
+
 def _in_parts(bpe, text: str, size: int = 100_000) -> np.ndarray:
     """Ids of a text by parts that end before a blank that follows a letter and goes before one: no token crosses there."""
-    out, low = [], 0
+    out, low = [np.empty(0, np.uint16)], 0
     while low < len(text):
         high = min(len(text), low + size)
         while high < len(text) and not (text[high] == " " and text[high - 1].isalpha() and text[high + 1 : high + 2].isalpha()):

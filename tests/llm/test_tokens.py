@@ -136,3 +136,33 @@ def test_scores_by_matrix_are_those_by_postings(monkeypatch):
     assert both.scores is not None and plain.scores is None
     for k in range(700):
         np.testing.assert_allclose(both._of(k), plain._of(k), rtol=1e-4, atol=1e-4)
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "　"])
+def test_very_long_white_space(blank):
+    """The pattern makes of a run of white space before a letter two pieces, its last blank being part of the second or a piece of its own."""
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(default_path(), "rb"))}
+    bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    n, encode = 2_000_000, encoder(default_path())
+    run = bpe._encode_single_piece(blank * (n - 1))
+    after = bpe.encode(" word next") if blank == " " else bpe._encode_single_piece(blank) + bpe.encode("word next")
+    assert encode("some text" + blank * n + "word next").tolist() == bpe.encode("some text") + run + after
+    assert encode("some text" + blank * n).tolist() == bpe.encode("some text") + bpe._encode_single_piece(blank * n)
+
+
+def test_white_space_runs_have_the_same_ids(monkeypatch, ids_of):
+    import random
+    import re
+
+    from stripewise.llm import tokens
+
+    monkeypatch.setattr(tokens, "_RUN", re.compile(tokens._RUN.pattern.replace("1000", "2")))
+    encode, rng = encoder(default_path()), random.Random(0)
+    bpe = next(c.cell_contents for c in encode.__closure__ if hasattr(c.cell_contents, "encode_to_numpy"))
+    for _ in range(3000):
+        text = "".join(rng.choice(" \n\tab1.é　\x85\x1c") for _ in range(rng.randint(1, 30)))
+        assert tokens._by_runs(bpe, text).tolist() == ids_of(text)
