@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .shared import sliced, table
 
 #: Labelled documents to learn from, on average: those whose hashed id is below a bound.
-SAMPLE = 10_000
+SAMPLE = 20_000
 FOLDS = 5
 #: Hash buckets of words; words of a category's model, and how far (in standard errors) a word's mean shares must be apart.
 BUCKETS = 1 << 20

@@ -43,3 +43,7 @@ def test_odd_rows(spark, odd):
     assert toxicity.scored(odd.limit(0), models).count() == 0
     assert toxicity.learnt(odd, labels.limit(0)) == []
     assert toxicity.scored(odd, []).where("p_toxic = 0").count() == odd.count()
+
+
+def test_sample_of_labels():
+    assert toxicity.SAMPLE >= 20_000
