@@ -253,7 +253,7 @@ def listed(spark: SparkSession, path: str, pattern: str = "*.orc") -> DataFrame:
 
 
 def metadata(spark: SparkSession, path: str, table: str = "files") -> DataFrame:
-    """A table of metadata over all ORC files below path, a row's first column its file: files, stripes,
+    """A table of metadata over all files below path, whatever their names, a row's first column its file: files, stripes,
     column_statistics (stripe null: of the whole file), row_groups, streams, encodings or blooms."""
     parse, columns = _TABLES[table]
     schema = f"path string, {columns}"
@@ -268,7 +268,7 @@ def metadata(spark: SparkSession, path: str, table: str = "files") -> DataFrame:
 
     arrow = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
     kinds = {c.strip().split()[0]: arrow[c.strip().split()[1]] for c in columns.split(",")}
-    return listed(spark, path).select("path").mapInArrow(run, schema)
+    return listed(spark, path, "*").where("length > 0").select("path").mapInArrow(run, schema)  # the files that scan() reads
 
 
 def row_count(spark: SparkSession, path: str) -> DataFrame:

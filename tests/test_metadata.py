@@ -60,3 +60,13 @@ def test_hashes():
     f.add("x")
     f.add(7, "long")
     assert f.might_contain("x") and f.might_contain(7, "long") and not f.might_contain("y") and f.n_bits == 1024
+
+
+def test_files_of_any_name(spark, orders, tmp_path):
+    import shutil
+
+    (file,) = paths_of(spark, orders)
+    shutil.copy(file.removeprefix("file://"), tmp_path / "part-0")
+    (tmp_path / "empty").touch()
+    assert row_count(spark, str(tmp_path)).first().n == spark.read.orc(str(tmp_path)).count() > 0
+    assert metadata(spark, str(tmp_path), "stripes").count() == metadata(spark, orders, "stripes").count()
