@@ -112,6 +112,8 @@ def _chosen(lists: list[tuple], y: np.ndarray) -> np.ndarray:
 def fitted(lists: list[tuple], dense: np.ndarray, y: np.ndarray) -> Linear:
     """Penalised logistic regression by Newton's method. With fewer than 5 documents of a class, the class's share alone."""
     n1 = int(y.sum())
+    if not len(y):  # nothing is known, so nothing is found
+        return Linear(np.empty(0, np.int64), np.empty(0), np.zeros(dense.shape[1]), -30.0)
     if min(n1, len(y) - n1) < 5:
         return Linear(np.empty(0, np.int64), np.empty(0), np.zeros(dense.shape[1]), float(np.log((n1 + 0.5) / (len(y) - n1 + 0.5))))
     words = _chosen(lists, y)
@@ -134,17 +136,19 @@ def fitted(lists: list[tuple], dense: np.ndarray, y: np.ndarray) -> Linear:
 
 
 def chained(lists: list[tuple], measures: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> list[Linear]:
-    """A model for each column of labels; each sees the out-of-fold log-odds of those before."""
+    """A model for each column of labels, of the rows whose own label is known (not -1); each sees the out-of-fold log-odds of those before."""
     dense, models = measures, []
     for c in range(labels.shape[1]):
         y = labels[:, c].astype(np.float64)
+        known = y >= 0
         out = np.zeros(len(y))
         for f in np.unique(folds):
-            inside, outside = np.flatnonzero(folds != f), np.flatnonzero(folds == f)
+            inside, outside = np.flatnonzero((folds != f) & known), np.flatnonzero(folds == f)
             if inside.size:
                 part = fitted([lists[k] for k in inside], dense[inside], y[inside])
                 out[outside] = part.logits([lists[k] for k in outside], dense[outside])
-        models.append(fitted(lists, dense, y))
+        own = np.flatnonzero(known)
+        models.append(fitted(lists if known.all() else [lists[k] for k in own], dense[own], y[own]))
         dense = np.hstack([dense, np.clip(out, -10, 10)[:, None]])
     return models
 
@@ -188,14 +192,14 @@ def _train(batches):
 def learnt(docs: DataFrame, labels: DataFrame, chain=CHAIN, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> list[Linear]:
     """The models of the chain, fitted in one task on about ``sample`` labelled documents, those whose hashed id is below a bound.
 
-    Of several labels of an id each column's largest counts; rows with a null label or id are left out. A
-    document id that has several texts is learnt with each. No labels: no models."""
+    Of several labels of an id each column's largest counts; where that is null, its category doesn't learn
+    from the document; rows with a null id or without any label are left out. A document id that has several texts is learnt with each. No labels: no models."""
     columns = [F.max(F.expr(e)).cast("int").alias(f"y{k}") for k, (_, e) in enumerate(chain)]
-    known = labels.groupBy(F.col(id_col).alias("__id")).agg(*columns).dropna()
+    known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(*columns).dropna("all", subset=[f"y{k}" for k in range(len(chain))])
     n = known.count()
     bound = int(min(1.0, sample / max(1, n)) * (1 << 30))
     hashed = F.pmod(F.xxhash64(F.col("__id").cast("string")), F.lit(1 << 30))
-    chosen = known.where(hashed < bound).select("__id", hashed.alias("h"), F.array(*[F.col(f"y{k}") for k in range(len(chain))]).alias("y"))
+    chosen = known.where(hashed < bound).select("__id", hashed.alias("h"), F.array(*[F.coalesce(f"y{k}", F.lit(-1)) for k in range(len(chain))]).alias("y"))
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
     rows = texts.join(F.broadcast(chosen), "__id").select("h", "y", "text")  # chosen is bounded by sample
     got = rows.mapInArrow(_extract, "h bigint, y array<int>, ids array<int>, shares array<float>, measures array<double>").repartition(1).mapInArrow(_train, "words array<bigint>, weights array<double>, dense array<double>, bias double").collect()

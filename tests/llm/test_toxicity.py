@@ -47,3 +47,11 @@ def test_odd_rows(spark, odd):
 
 def test_sample_of_labels():
     assert toxicity.SAMPLE >= 20_000
+
+
+def test_labels_without_quality_teach_the_toxic_model(spark):
+    docs = spark.createDataFrame([(k, f"some plain words number{k} " + ("nasty" if k % 2 else "kind")) for k in range(80)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, 1 if k % 10 == 0 else None, k % 2) for k in range(80)], "doc_id bigint, quality int, toxic int")
+    models = toxicity.learnt(docs, labels)
+    got = {r.doc_id: r.p_toxic for r in toxicity.scored(docs, models, keep=["doc_id"]).collect()}
+    assert all((p > 0.5) == bool(k % 2) for k, p in got.items())
