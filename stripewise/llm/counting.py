@@ -1,7 +1,7 @@
 """Token counts of documents in flat token files.
 
 A flat file is nothing but token ids of 16 bits, little endian, with an end-of-document id after each document: no
-index, no header. Blocks of files are searched for that id as arrays, each in any task. A block knows where its separators
+index, no header. That id is outside of the vocabulary, so no text can hold it, not even one with the string of a special token. Blocks of files are searched for that id as arrays, each in any task. A block knows where its separators
 are but not what came before; a prefix scan over the blocks' few numbers (separators so far, the last separator)
 stitches documents that cross blocks.
 """
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .shared import shared_path, shuffle_partitions, sliced, stored, table
 from .tokens import default_path, encoder
 
-#: End-of-document id of the vocabulary; no ordinary text has it.
-END = 50256
+#: End-of-document id: 16 bits hold it, the vocabulary doesn't.
+END = 0xFFFF
 #: Tokens of a block, and bytes after which a writer begins another file.
 BLOCK = 4 << 20
 FILE_BYTES = 1 << 30
@@ -111,7 +111,8 @@ def counted(files: DataFrame, folder: str, end: int = END, block: int = BLOCK) -
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, block: int = BLOCK) -> DataFrame:
     """doc_id and n_tokens of each row of docs, counted in flat files that are written first. Null and empty texts have
-    0 tokens; null and repeated ids stay as they are; other columns are not looked at. An empty table has no rows."""
+    0 tokens; null and repeated ids stay as they are; other columns are not looked at. An empty table has no rows. Very long
+    texts, with white space of any length too, are tokenised whole, as the ``tokenizers`` library does; they may span blocks."""
     folder = shared_path(docs.sparkSession, "flat")
     folder = folder if "://" in folder else "file://" + folder
     manifest = write_flat(docs, folder, id_col, text_col, path)

@@ -8,33 +8,21 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from stripewise.llm import counting, packing
-from stripewise.llm.tokens import _in_parts, default_path, encoder
+from stripewise.llm.tokens import _vocabulary, default_path, encoder
 
 
 @pytest.fixture(scope="module")
 def ids_of():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
 def test_ids_are_those_of_the_library(ids_of, small):
     encode = encoder(default_path())
-    for text in [*(t for _, t in small), None, "", "<|endoftext|> x", "  two  blanks\n\n\nlines\t", "大熊 ñandú 😀😀 'll don't 123456 ....", "a" * 5000, " " * 3000 + "x"]:
+    for text in [*(t for _, t in small), None, "", "<|endoftext|> x", "a <|endoftext|> b", "  <|endoftext|><|endoftext|>\n\n <|endoftext", "<|endoftext|>", "  two  blanks\n\n\nlines\t", "大熊 ñandú 😀😀 'll don't 123456 ....", "a" * 5000, " " * 3000 + "x"]:
         assert encode(text).tolist() == ids_of(text)
 
 
-def test_cut_texts_have_the_same_ids(ids_of, small):
-    import base64
-
-    import tiktoken
-
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(default_path(), "rb"))}
-    bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    for _, text in small[:30]:
-        assert _in_parts(bpe, text, 50).tolist() == ids_of(text)
-
-
 @pytest.mark.parametrize("block", [counting.BLOCK, 64, 7])
 def test_counts(odd, ids_of, block):
     got = sorted(((r.doc_id, r.n_tokens) for r in counting.token_counts(odd, block=block).collect()), key=str)
@@ -138,31 +126,52 @@ def test_scores_by_matrix_are_those_by_postings(monkeypatch):
         np.testing.assert_allclose(both._of(k), plain._of(k), rtol=1e-4, atol=1e-4)
 
 
-@pytest.mark.parametrize("blank", [" ", "\n", "　"])
-def test_very_long_white_space(blank):
-    """The pattern makes of a run of white space before a letter two pieces, its last blank being part of the second or a piece of its own."""
-    import base64
+@pytest.fixture(scope="module")
+def bpe():
+    return _vocabulary(default_path())
 
-    import tiktoken
 
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(default_path(), "rb"))}
-    bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    n, encode = 2_000_000, encoder(default_path())
-    run = bpe._encode_single_piece(blank * (n - 1))
-    after = bpe.encode(" word next") if blank == " " else bpe._encode_single_piece(blank) + bpe.encode("word next")
-    assert encode("some text" + blank * n + "word next").tolist() == bpe.encode("some text") + run + after
-    assert encode("some text" + blank * n).tolist() == bpe.encode("some text") + bpe._encode_single_piece(blank * n)
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", " \n\t", "\u3000"])
+def test_very_long_white_space(bpe, blank):
+    """The pattern makes of a run of white space before a letter two pieces, its last blank being part of the second or a piece of its own."""
+    encode = encoder(default_path())
+    run = blank * 1_500_000
+    first = bpe._encode_single_piece(run[:-1])
+    after = bpe.encode(" word next") if run[-1] == " " else bpe._encode_single_piece(run[-1]) + bpe.encode("word next")
+    assert encode("some text" + run + "word next").tolist() == bpe.encode("some text") + first + after
+    assert encode("some text" + run).tolist() == bpe.encode("some text") + bpe._encode_single_piece(run)
+    assert encode("some text" + run + "<|endoftext|>" + "a").tolist() == bpe.encode("some text") + bpe._encode_single_piece(run) + [50256] + bpe.encode("a")
 
 
-def test_white_space_runs_have_the_same_ids(monkeypatch, ids_of):
+def test_white_space_runs_have_the_same_ids(monkeypatch, ids_of, bpe):
     import random
     import re
 
     from stripewise.llm import tokens
 
     monkeypatch.setattr(tokens, "_RUN", re.compile(tokens._RUN.pattern.replace("1000", "2")))
-    encode, rng = encoder(default_path()), random.Random(0)
-    bpe = next(c.cell_contents for c in encode.__closure__ if hasattr(c.cell_contents, "encode_to_numpy"))
+    rng = random.Random(0)
     for _ in range(3000):
-        text = "".join(rng.choice(" \n\tab1.é　\x85\x1c") for _ in range(rng.randint(1, 30)))
+        text = "".join(rng.choice([*" \n\tab1.é\u3000\x85\x1c", "<|endoftext|>"]) for _ in range(rng.randint(1, 30)))
         assert tokens._by_runs(bpe, text).tolist() == ids_of(text)
+
+
+@pytest.fixture(scope="module")
+def hard(spark):
+    """Texts that the vocabulary's pattern cannot take in one piece, and strings of special tokens."""
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, " " * 3_000_000), (4, "x" + "\n" * 3_000_000 + "y"), (5, "\t" * 3_000_000 + "z"), (6, " \n\t" * 1_000_000 + "<|endoftext|> end"), (7, "short")]
+    return spark.createDataFrame(rows, "doc_id bigint, text string")
+
+
+def test_hard_texts_are_counted(hard):
+    encode = encoder(default_path())
+    want = {r.doc_id: encode(r.text).size for r in hard.collect()}
+    assert want[1] == 4 and want[2] == 1
+    assert {r.doc_id: r.n_tokens for r in counting.token_counts(hard).collect()} == want
+
+
+def test_hard_texts_are_packed(hard):
+    encode = encoder(default_path())
+    want = {r.doc_id: encode(r.text).size + 1 for r in hard.collect()}
+    got = packing.sequences(hard).collect()
+    assert {r.doc_id: r.doc_tokens for r in got} == want and sum(r.length for r in got) == sum(want.values())
