@@ -10,15 +10,17 @@ Windows without any shingle of any item have similarity 0 and get no fingerprint
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import sliced, stored, table
+from .shared import column, sliced, stored, table, unpacked, whole
+from .shingles import hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -31,34 +33,16 @@ PASS_BYTES = 16 << 20
 SPAN = 50_000
 
 _WORD = re.compile(r"\w+")
-_STEPS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 
 
-class _Hashes(dict):
-    """Hash of a word, kept while there are not too many."""
+def words_of(text: str | None) -> list[str]:
+    """Letters, digits and underscores, in lower case."""
+    return _WORD.findall(text.lower()) if text else []
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        out = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return out
-
-
-_HASHES = _Hashes()
 
-
-def shingles(text: str | None) -> np.ndarray:
-    """Hashes of the runs of five words of a text: letters, digits and underscores, in lower case."""
-    words = _WORD.findall(text.lower()) if text else []
-    n = len(words) - SHINGLE + 1
-    if n < 1:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    out = np.zeros(n, np.uint64)
-    for k in range(SHINGLE):
-        out ^= out >> np.uint64(29)
-        out = (out + h[k : k + n]) * _STEPS[k]
-    return out ^ (out >> np.uint64(32))
+def shingles(words: list[str]) -> np.ndarray:
+    """Hashes of the runs of five words."""
+    return hashes(words, SHINGLE) if len(words) >= SHINGLE else np.empty(0, np.uint64)
 
 
 def _signs(s: np.ndarray) -> np.ndarray:
@@ -109,14 +93,19 @@ class _Length:
 
 
 class Index:
-    """The items of one pass. Items of fewer than five words are left out: they say nothing."""
+    """The items of one pass. An item of fewer than five words is a single shingle of them all, found where a document has
+    those words in a row. Items without a word are in no document."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple]):
         by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
         self.counts: list[Counter] = []
-        self.ids: list[int] = []
+        self.ids: list = []
+        self.short: dict[int, dict[int, list]] = {}
         for item, text in items:
-            s = shingles(text)
+            words = words_of(text)
+            s = shingles(words)
+            if 0 < len(words) < SHINGLE:
+                self.short.setdefault(len(words), {}).setdefault(int(hashes(words, SHINGLE)[0]), []).append(item)
             if s.size:
                 by_length.setdefault(s.size, []).append((len(self.ids), s))
                 self.ids.append(item)
@@ -127,9 +116,22 @@ class Index:
         self.map = np.zeros(1 << 22, bool)
         self.map[(self.all >> np.uint64(42)).astype(np.int64)] = True
 
-    def search(self, text: str | None) -> list[tuple[int, int, int, float]]:
+    def search(self, text: str | None) -> list[tuple]:
         """(item, first word, words, similarity) of the best window for each item found in a text."""
-        s = shingles(text)
+        words = words_of(text)
+        return self._short(words) + self._long(shingles(words))
+
+    def _short(self, words: list[str]) -> list[tuple]:
+        out = []
+        for m, items in self.short.items():
+            if len(words) >= m:
+                h = hashes(words, m)
+                at = np.flatnonzero(np.isin(h, np.fromiter(items, np.uint64, len(items))))
+                for x, k in zip(*np.unique(h[at], return_index=True), strict=True):
+                    out += [(item, int(at[k]), m, 1.0) for item in items[int(x)]]
+        return out
+
+    def _long(self, s: np.ndarray) -> list[tuple]:
         if not s.size or not self.all.size:
             return []
         hit = np.flatnonzero(self.map[(s >> np.uint64(42)).astype(np.int64)])
@@ -170,20 +172,27 @@ class Index:
                     best[item] = (v, at, n)
 
 
-_LEAKS = "array<struct<item_id: bigint, first_word: bigint, n_words: bigint, similarity: double>>"
+_KEPT: dict = {}
+
 
+def _index(items, name: str) -> Index:
+    """The index of broadcast items, made once for each worker; of other passes none is kept."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = Index(items.value)
+    return _KEPT[name]
 
-def _searching(items: list[tuple[int, str | None]]):
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())]))
+
+def _searching(items, name: str):
+    """Adds what is found to the last column; texts are in the one before."""
 
     def run(batches):
-        index = Index(items)
         for batch in sliced(batches):
-            before = batch.column(batch.num_columns - 1).to_pylist()
+            index = _index(items, name)
             found = []
-            for text, old in zip(batch.column(batch.num_columns - 2).to_pylist(), before, strict=True):
+            for text, old in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 found.append((old or []) + [{"item_id": a, "first_word": b, "n_words": c, "similarity": d} for a, b, c, d in index.search(text)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, kind)], names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, batch.column(batch.num_columns - 1).type)], names=batch.schema.names)
 
     return run
 
@@ -191,7 +200,7 @@ def _searching(items: list[tuple[int, str | None]]):
 def passes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", bytes_: int = PASS_BYTES):
     """Lists of (item, text), each of at most ``bytes_`` bytes of text (or one item); of the whole table in turn."""
     held, size = [], 0
-    for r in benchmark.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).cast("string").alias("t")).toLocalIterator():
+    for r in benchmark.select(column(id_col).alias("i"), column(text_col).cast("string").alias("t")).toLocalIterator():
         n = len((r["t"] or "").encode("utf-8", "surrogatepass")) + 16
         if held and size + n > bytes_:
             yield held
@@ -202,26 +211,34 @@ def passes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
         yield held
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Columns ``keep`` of docs (all where None) and ``__leaks``: for each item found its id, the window's first word, its
-    number of words, and the similarity, at least SIMILARITY.
-
-    One pass over docs for each block of items. Null and empty texts have no leaks, nor has anything where the
-    benchmark is empty. Rows come out as they come in, repeated ones and those with null ids too."""
-    kept = docs.columns if keep is None else keep
-    out = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).cast("string").alias("__text"), F.lit(None).cast(_LEAKS).alias("__leaks"))
+def _found(docs: DataFrame, benchmark: DataFrame, text_col: str, keep: list[str], item_col: str, item_text: str) -> DataFrame:
+    """row (the columns ``keep``), text, and leaks."""
+    spark = docs.sparkSession
+    fields = [T.StructField("item_id", benchmark.schema[item_col].dataType), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("similarity", T.DoubleType())]
+    out = docs.select(whole(docs, keep).alias("row"), column(text_col).cast("string").alias("text"), F.lit(None).cast(T.ArrayType(T.StructType(fields))).alias("leaks"))
     schema = out.schema
     for k, items in enumerate(passes(benchmark, item_col, item_text)):
         if k % 8 == 7:
             out = stored(out, "leaks")
-        out = out.mapInArrow(_searching(items), schema)
-    return out.drop("__text")
+        out = out.mapInArrow(_searching(spark.sparkContext.broadcast(items), uuid.uuid4().hex), schema)  # at most PASS_BYTES
+    return out
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None, item_col: str = "item_id", item_text: str = "text", name: str = "__leaks") -> DataFrame:
+    """Columns ``keep`` of docs (all where None) and one called ``name``: for each item found its id (of any type), the window's first word, its
+    number of words, and the similarity, at least SIMILARITY; of equally similar windows the first.
+
+    One pass over docs for each block of items. Null and empty texts have no leaks, nor has anything where the
+    benchmark is empty; null items are in no document. Texts are searched whole, very long ones by regions of hits. Rows
+    come out as they come in, repeated ones and those with null ids too. Names of columns don't matter, but for ``name``."""
+    kept = docs.columns if keep is None else keep
+    return _found(docs, benchmark, text_col, kept, item_col, item_text).select(*unpacked(kept), F.col("leaks").alias(name))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs that contain no benchmark item, with all their columns."""
-    found = leaks(docs, benchmark, text_col)
-    return found.where(F.col("__leaks").isNull() | (F.size("__leaks") == 0)).drop("__leaks")
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs that contain no benchmark item, with all their columns, whatever their names. See ``leaks``."""
+    found = _found(docs, benchmark, text_col, docs.columns, item_col, item_text)
+    return found.where(F.col("leaks").isNull() | (F.size("leaks") == 0)).select(*unpacked(docs.columns))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,13 +13,14 @@ from __future__ import annotations
 import json
 import unicodedata
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import column, table
 
 DIMENSIONS = 1024
 SEED = 7
@@ -28,7 +29,7 @@ N = 3
 SYMBOLS = 64
 #: n-grams with a dense table of vectors.
 DENSE = 3072
-#: Documents of a language that prototypes are learnt from: those with the smallest checksums of their ids.
+#: Texts of a language that prototypes are learnt from, on average.
 SAMPLE = 4000
 #: Languages that can be learnt; their prototypes come to the driver.
 MOST_LANGUAGES = 2000
@@ -60,23 +61,30 @@ class Space:
 
     def grams(self, text: str) -> np.ndarray:
         """Numbers of the n-grams of a text: runs of non-letters count as one boundary, as do both ends."""
-        if not text:
-            return np.empty(0, np.int64)
+        return np.concatenate([np.empty(0, np.int64), *self.blocks(text)])
+
+    def blocks(self, text: str | None) -> Iterator[np.ndarray]:
+        """The n-grams of a text, BLOCK characters at a time; the last symbols of a block go with the next."""
+        held = np.zeros(1, np.uint8)  # the boundary before the text
+        for low in range(0, len(text or ""), BLOCK):
+            s = self._symbols(text[low : low + BLOCK])
+            s = np.concatenate((held, s, [0] if low + BLOCK >= len(text) else [])).astype(np.uint8)
+            s = s[np.r_[True, (s[1:] != 0) | (s[:-1] != 0)]]
+            if s.size >= N:
+                out = s[: s.size - N + 1].astype(np.int64)
+                for k in range(1, N):
+                    out = out * SYMBOLS + s[k : s.size - N + 1 + k]
+                yield out
+            held = s[-(N - 1) :]
+
+    def _symbols(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         if points.max() > 0xFFFF:
             beyond = np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in points[points > 0xFFFF].tolist()), bool)
             points = points.copy()
             high = points > 0xFFFF
             points[high] = np.where(beyond, 0x4E00 + points[high] % 64, 0)
-        s = self.table[points]
-        s = np.concatenate(([0], s, [0])).astype(np.uint8)
-        s = s[np.r_[True, (s[1:] != 0) | (s[:-1] != 0)]]
-        if s.size < N:
-            return np.empty(0, np.int64)
-        out = s[: s.size - N + 1].astype(np.int64)
-        for k in range(1, N):
-            out = out * SYMBOLS + s[k : s.size - N + 1 + k]
-        return out
+        return self.table[points]
 
     def bound(self, grams: np.ndarray) -> np.ndarray:
         """Vectors of n-grams."""
@@ -109,10 +117,7 @@ class Bundler:
         counts = np.zeros((len(texts), max(1, self.dense.size)), np.float32)
         rest = np.zeros((len(texts), DIMENSIONS), np.float32)
         for k, text in enumerate(texts):
-            for low in range(0, len(text or ""), BLOCK):  # a block takes the characters before it that its first n-grams need
-                found = self.space.grams(text[max(0, low - N + 1) : low + BLOCK] if low else text[:BLOCK])
-                if not found.size:
-                    continue
+            for found in self.space.blocks(text):
                 at = self.where[found]
                 inside = at >= 0
                 counts[k] += np.bincount(at[inside], minlength=counts.shape[1])[: counts.shape[1]]
@@ -128,7 +133,7 @@ def _learning(batches):
     space, sums, seen = _space(), {}, {}
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            grams, n = np.unique(space.grams(text), return_counts=True)
+            grams, n = np.unique(space.grams(text), return_counts=True)  # few, however long the text is
             if not grams.size:
                 continue
             vector = np.zeros(DIMENSIONS, np.float32)
@@ -151,22 +156,23 @@ def _rows(lang, kind, keys, values):
     return pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array([kind] * n, pa.string()), pa.array(keys, pa.int64()), pa.array(np.asarray(values, np.float64))], names=["lang", "kind", "key", "value"])
 
 
-def learnt(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> dict:
+def learnt(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sample: int = SAMPLE) -> dict:
     """The model: languages, unit prototypes and the frequent n-grams.
 
-    Learns from at most ``sample`` documents of each language, those with the smallest hash of the id (rows
-    with a null language or no letter teach nothing). Vectors are summed on the executors; the driver gets one of DIMENSIONS
-    numbers for each language, at most MOST_LANGUAGES, and the DENSE most frequent n-grams of at most SYMBOLS ** N."""
-    rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
-    n = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    Learns from about ``sample`` different texts of each language, those with the smallest hashes, and all where there are no
+    more (rows with a null language or no letter teach nothing, repeated rows once). Vectors are summed on the executors; the driver gets one of DIMENSIONS
+    numbers for each language and the DENSE most frequent n-grams of at most SYMBOLS ** N. More than MOST_LANGUAGES languages are an error."""
+    hashed = F.xxhash64(column(lang_col).cast("string"), column(text_col).cast("string"))
+    rows = docs.where(column(lang_col).isNotNull()).select(column(lang_col).cast("string").alias("lang"), hashed.alias("h"), column(text_col).cast("string").alias("text"))
+    n = rows.groupBy("lang", "h").agg(F.lit(1)).groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
     if len(n) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages; the prototypes are kept on the driver")
-    # of a language with n documents those below this share of all hashes: sample on average, so none is sorted
+    # of a language with n texts those below this share of all hashes: sample on average, so none is sorted
     share = {r["lang"]: min(1.0, sample / r["n"]) for r in n}
     if not share:
         return {"langs": [], "vectors": [], "dense": []}
     limits = F.element_at(F.from_json(F.lit(json.dumps(share)), "map<string, double>"), F.col("lang"))
-    chosen = rows.where(F.pmod("h", F.lit(1 << 30)) < limits * (1 << 30)).select("lang", "text")
+    chosen = rows.where(F.pmod("h", F.lit(1 << 30)) < limits * (1 << 30)).groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
     got = chosen.mapInArrow(_learning, "lang string, kind string, key bigint, value double").groupBy("lang", "kind", "key").agg(F.sum("value").alias("value"))
     vectors = got.where("kind = 'v'").groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("key", "value"))).alias("v")).select("lang", F.col("v.value").alias("v")).orderBy("lang").collect()
     # each language weighs alike in the choice of frequent n-grams
@@ -204,8 +210,8 @@ def predicted(docs: DataFrame, model: dict, text_col: str = "text", id_col: str
     """(doc_id, lang_pred, score) of each row: score is the cosine with the chosen prototype, held between 0 and 1.
 
     ``und`` with score 0 where the text is null, empty or has no letter, or where no language was learnt. Ties
-    go to the first language by name. Null and repeated ids stay as they are; other columns are not looked at."""
-    taken = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("__text"))
+    go to the first language by name. Texts of any length are bundled whole, in blocks. Null and repeated ids stay as they are; other columns are not looked at."""
+    taken = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return taken.mapInArrow(_predicting(model), f"doc_id {taken.schema[0].dataType.simpleString()}, lang_pred string, score double")
 
 

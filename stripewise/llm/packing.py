@@ -293,7 +293,9 @@ def dealt(tokens: DataFrame, idf: np.ndarray, n_docs: int, mean: float, shards:
     hashed = F.pmod(F.xxhash64("row"), F.lit(1 << 30))
     pivots, bounds, groups = Pivots([], idf, mean), np.empty(0, np.int64), min(shards, RANGES)
     if shards > 1:
-        able = rows.where(F.col("n").between(*PIVOT_TOKENS)).select(hashed.alias("h"), "row", "ids").orderBy("h", "row").limit(PIVOTS)
+        able = rows.where(F.col("n").between(*PIVOT_TOKENS))
+        few = int(min(1.0, 4 * PIVOTS / max(1, able.count())) * (1 << 30))  # so that no task sends many to the driver
+        able = able.where(hashed <= few).select(hashed.alias("h"), "row", "ids").orderBy("h", "row").limit(PIVOTS)
         pivots = Pivots([np.frombuffer(r["ids"], np.uint16) for r in able.collect()], idf, mean)
         share = int(min(1.0, SAMPLE / n_docs) * (1 << 30))
         drawn = rows.where(hashed <= share).select("n", "ids").mapInArrow(_signed(pivots), "n bigint, signature bigint").collect()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,11 +13,13 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset
-    (a local session, as in tests) one temporary folder of this process."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset in a local session
+    (as in tests) one temporary folder of this process; on a cluster that is an error, as executors would not see each other's files."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="stripewise-"))
     return _OWN[0]
@@ -62,13 +65,27 @@ def row_key(*columns):
     return F.unhex(F.md5(F.encode(F.concat(*sized), "UTF-8")))
 
 
+def column(name: str):
+    """The column of that very name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole(df: DataFrame, columns: list[str] | None = None):
+    """Columns of df (all where None) as one struct, in which no name can clash with an operator's own."""
+    return F.struct(*[column(c).alias(f"c{k}") for k, c in enumerate(df.columns if columns is None else columns)])
+
+
+def unpacked(columns: list[str], row: str = "row") -> list:
+    """The columns of a struct that ``whole`` made."""
+    return [F.col(row).getField(f"c{k}").alias(c) for k, c in enumerate(columns)]
+
+
 def keep_rows(df: DataFrame, key, keep: DataFrame) -> DataFrame:
     """Rows of df whose key (an expression) is in keep(key); of rows with equal keys one stays.
 
     Rows that share a key are equal in all columns that the key covers. ``keep`` has a column ``n``, the
     number of rows with the key: only where it is above one are rows compared."""
-    columns = [F.col(c) for c in df.columns]
-    there = df.select(*columns, key.alias("__key")).join(keep.select(F.col("key").alias("__key"), F.col("n").alias("__n")), "__key")
-    once = there.where("__n = 1").select(*columns)
-    again = there.where("__n > 1").dropDuplicates(["__key"]).select(*columns)
-    return once.unionByName(again)
+    there = df.select(whole(df).alias("row"), key.alias("key")).join(keep.select("key", "n"), "key")
+    once = there.where("n = 1").select("row")
+    again = there.where("n > 1").groupBy("key").agg(F.first("row").alias("row")).select("row")
+    return once.unionByName(again).select(*unpacked(df.columns))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import shuffle_partitions, sliced, stored, table
+from .shared import column, shuffle_partitions, sliced, stored, table
 
 SEED = 42
 #: Buckets up to this size are compared lag by lag, larger ones by search trees.
@@ -58,7 +58,7 @@ def _fingerprints(shingle: int):
 
 def fingerprints(df: DataFrame, text, shingle: int = 5, **keep) -> DataFrame:
     """The columns of ``keep`` (name=expression) and ``fp``, the fingerprint as a bigint, of each row."""
-    taken = df.select(*[c.alias(k) for k, c in keep.items()], text.cast("string").alias("__text"))
+    taken = df.select(*[c.alias(k) for k, c in keep.items()], text.cast("string").alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:-1])
     return taken.mapInArrow(_fingerprints(shingle), (schema + ", " if schema else "") + "fp bigint")
 
@@ -210,7 +210,8 @@ def links(marks: DataFrame, radius: int = 4) -> DataFrame:
     of blocks is compared in a task of its own."""
     spark = marks.sparkSession
     n = shuffle_partitions(spark)
-    keyed = marks.select("fp", F.explode(_variants(F.col("fp"), radius)).alias("key"))
+    # marks may be few files; each row becomes 64
+    keyed = marks.repartition(n).select("fp", F.explode(_variants(F.col("fp"), radius)).alias("key"))
     sorted_ = keyed.select("key", "fp").repartition(n, "key").sortWithinPartitions("key", "fp")
     got = stored(sorted_.mapInArrow(_bucket_links(radius), "a bigint, b bigint, key bigint"), "buckets")
     plain = got.where("key is null").select("a", "b")
@@ -235,12 +236,12 @@ def classes(rows: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 4) -> DataFrame:
-    """One row (doc_id, fingerprint, component_id) for each row of docs.
+    """One row (doc_id, fingerprint, component_id) for each row of docs. Ids may be of any type that has an order.
 
     A null text and a text without words have fingerprint zero and link like any other. Null ids are kept; a
-    component of null ids only has a null component_id. Repeated rows come out as often as they come in. Other
-    columns of docs, whatever their names, play no part. An empty table gives an empty table."""
-    rows = stored(fingerprints(docs, F.col(text_col), shingle, id=F.col(id_col).cast("bigint")), "fingerprints")
+    component of null ids only has a null component_id. Repeated rows come out as often as they come in. Texts of any
+    length count whole. Other columns of docs, whatever their names, play no part. An empty table gives an empty table."""
+    rows = stored(fingerprints(docs, column(text_col), shingle, id=column(id_col)), "fingerprints")
     named = classes(rows, radius)
     return rows.join(named, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_path, shuffle_partitions, sliced, stored, table
+from .shared import shared_path, shuffle_partitions, sliced, stored, table, unpacked, whole
 
 LENGTH = 200
 #: Places whose anchor can be one position: the window of q-gram starts.
@@ -365,12 +365,12 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGT
     """All rows and columns of docs, ``text_col`` without its repeated bytes. Characters cut in two go. A null text stays
     null; a text of nothing but repeats is left empty. Other columns stay as they are, whatever their names."""
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    cut = repeats(docs, t, length, with_text=True).select("k1", "k2", F.col("left").alias("__left"))
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    short = F.when(F.octet_length(t) < length, F.col(text_col))
-    rows = docs.select(*keys(t), F.struct(*rest, short.alias(text_col)).alias("__row"))
-    text = F.coalesce(F.col("__left"), F.col("__row").getField(text_col)).alias(text_col)
-    return rows.join(cut, ["k1", "k2"], "left").select(*[text if c == text_col else F.col("__row").getField(c).alias(c) for c in docs.columns])
+    cut = repeats(docs, t, length, with_text=True).select("k1", "k2", "left")
+    others = [c for c in docs.columns if c != text_col]
+    short = F.when(F.octet_length(t) < length, F.col(text_col)).alias("short")
+    rows = docs.select(*keys(t), whole(docs, others).alias("row"), short)
+    columns = dict(zip(others, unpacked(others), strict=True)) | {text_col: F.coalesce("left", "short").alias(text_col)}
+    return rows.join(cut, ["k1", "k2"], "left").select(*[columns[c] for c in docs.columns])
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Toxicity by a chain of classifiers.
 
 Categories are predicted one after the other. Each has a linear (logistic) model over the words of a text that
-tell it apart best, some measurements, and the log-odds of all categories before it. For learning, those
-log-odds come from models that did not see the document (out-of-fold); for predicting, from the final models.
+tell it apart best, some measurements, and the probabilities of all categories before it. For learning, those
+come from models that did not see the document (out-of-fold); for predicting, from the final models.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import sliced, table
+from .shared import column, sliced, table, unpacked, whole
 
 #: Labelled documents to learn from, on average: those whose hashed id is below a bound.
 SAMPLE = 20_000
@@ -67,8 +68,9 @@ class Linear:
     dense: np.ndarray
     bias: float
 
-    def logits(self, lists: list[tuple], dense: np.ndarray) -> np.ndarray:
-        return _matrix(lists, self.words) @ self.weights + dense @ self.dense + self.bias
+    def probability(self, lists: list[tuple], dense: np.ndarray) -> np.ndarray:
+        logits = _matrix(lists, self.words) @ self.weights + dense @ self.dense + self.bias
+        return 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
 
 
 #: Documents whose features are put together at a time.
@@ -136,7 +138,7 @@ def fitted(lists: list[tuple], dense: np.ndarray, y: np.ndarray) -> Linear:
 
 
 def chained(lists: list[tuple], measures: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> list[Linear]:
-    """A model for each column of labels, of the rows whose own label is known (not -1); each sees the out-of-fold log-odds of those before."""
+    """A model for each column of labels, of the rows whose own label is known (not -1); each sees the out-of-fold probabilities of those before."""
     dense, models = measures, []
     for c in range(labels.shape[1]):
         y = labels[:, c].astype(np.float64)
@@ -146,19 +148,18 @@ def chained(lists: list[tuple], measures: np.ndarray, labels: np.ndarray, folds:
             inside, outside = np.flatnonzero((folds != f) & known), np.flatnonzero(folds == f)
             if inside.size:
                 part = fitted([lists[k] for k in inside], dense[inside], y[inside])
-                out[outside] = part.logits([lists[k] for k in outside], dense[outside])
+                out[outside] = part.probability([lists[k] for k in outside], dense[outside])
         own = np.flatnonzero(known)
         models.append(fitted(lists if known.all() else [lists[k] for k in own], dense[own], y[own]))
-        dense = np.hstack([dense, np.clip(out, -10, 10)[:, None]])
+        dense = np.hstack([dense, out[:, None]])
     return models
 
 
 def probabilities(models: list[Linear], lists: list[tuple], measures: np.ndarray) -> np.ndarray:
     dense, out = measures, []
     for m in models:
-        logits = m.logits(lists, dense)
-        out.append(1 / (1 + np.exp(-np.clip(logits, -30, 30))))
-        dense = np.hstack([dense, np.clip(logits, -10, 10)[:, None]])
+        out.append(m.probability(lists, dense))
+        dense = np.hstack([dense, out[-1][:, None]])
     return np.stack(out, axis=1) if out else np.zeros((len(lists), 0))
 
 
@@ -190,19 +191,19 @@ def _train(batches):
 
 
 def learnt(docs: DataFrame, labels: DataFrame, chain=CHAIN, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> list[Linear]:
-    """The models of the chain, fitted in one task on about ``sample`` labelled documents, those whose hashed id is below a bound.
+    """The models of the chain, fitted in one task on about ``sample`` labelled documents at most, those whose hashed id and text are below bounds.
 
     Of several labels of an id each column's largest counts; where that is null, its category doesn't learn
-    from the document; rows with a null id or without any label are left out. A document id that has several texts is learnt with each. No labels: no models."""
+    from the document; rows with a null id or without any label are left out. An id that has several texts is learnt with
+    each of them, rows equal in id and text once. Null and empty texts have no words. No labels: no models. Texts of any length count whole."""
     columns = [F.max(F.expr(e)).cast("int").alias(f"y{k}") for k, (_, e) in enumerate(chain)]
-    known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(*columns).dropna("all", subset=[f"y{k}" for k in range(len(chain))])
-    n = known.count()
-    bound = int(min(1.0, sample / max(1, n)) * (1 << 30))
-    hashed = F.pmod(F.xxhash64(F.col("__id").cast("string")), F.lit(1 << 30))
-    chosen = known.where(hashed < bound).select("__id", hashed.alias("h"), F.array(*[F.coalesce(f"y{k}", F.lit(-1)) for k in range(len(chain))]).alias("y"))
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "__id").select("h", "y", "text")  # chosen is bounded by sample
-    got = rows.mapInArrow(_extract, "h bigint, y array<int>, ids array<int>, shares array<float>, measures array<double>").repartition(1).mapInArrow(_train, "words array<bigint>, weights array<double>, dense array<double>, bias double").collect()
+    known = labels.where(column(id_col).isNotNull()).groupBy(column(id_col).cast("string").alias("id")).agg(*columns).dropna("all", subset=[f"y{k}" for k in range(len(chain))])
+    low = lambda n: int(min(1.0, sample / max(1, n)) * (1 << 30))
+    chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= low(known.count())).select("id", F.array(*[F.coalesce(f"y{k}", F.lit(-1)) for k in range(len(chain))]).alias("y"))
+    texts = docs.select(column(id_col).cast("string").alias("id"), column(text_col).cast("string").alias("text"))
+    rows = texts.join(F.broadcast(chosen), "id").select("y", "text", "id", F.pmod(F.xxhash64(F.lit(1), "id", "text"), F.lit(1 << 30)).alias("h"))  # chosen is bounded by sample
+    few = rows.where(F.col("h") <= low(rows.select("id", "h").distinct().count())).groupBy("id", "h").agg(F.first("y").alias("y"), F.first("text").alias("text"))
+    got = few.select("h", "y", "text").mapInArrow(_extract, "h bigint, y array<int>, ids array<int>, shares array<float>, measures array<double>").repartition(1).mapInArrow(_train, "words array<bigint>, weights array<double>, dense array<double>, bias double").collect()
     return [Linear(np.asarray(r["words"], np.int64), np.asarray(r["weights"], np.float64), np.asarray(r["dense"], np.float64), r["bias"]) for r in got]
 
 
@@ -220,16 +221,20 @@ def _scoring(models: list[Linear], names: list[str]):
     return run
 
 
+def _with_scores(docs: DataFrame, models: list[Linear], names: list[str], text_col: str, keep: list[str]) -> DataFrame:
+    """row (the columns ``keep``) and the probabilities."""
+    taken = docs.select(whole(docs, keep).alias("row"), column(text_col).cast("string").alias("text"))
+    return taken.mapInArrow(_scoring(models, names), T.StructType([taken.schema["row"], *(T.StructField(n, T.DoubleType()) for n in names)]))
+
+
 def scored(docs: DataFrame, models: list[Linear], chain=CHAIN, text_col: str = "text", keep: list[str] | None = None, prefix: str = "p_") -> DataFrame:
     """Columns ``keep`` of docs (all where None) with a probability p_<category> for each category of the chain.
 
-    Null and empty texts have no words; their probabilities follow from the models' constants. Without models all are 0.
-    Rows, repeated ones and those with null ids too, come out as they come in."""
+    Null and empty texts have no words; their probabilities follow from the models' constants. Texts of any length count whole. Without models all are 0.
+    Rows, repeated ones and those with null ids too, come out as they come in, whatever the names of their columns."""
     names = [f"{prefix}{n}" for n, _ in chain]
     kept = docs.columns if keep is None else keep
-    taken = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).cast("string").alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:-1]] + [f"`{n}` double" for n in names])
-    return taken.mapInArrow(_scoring(models, names), schema)
+    return _with_scores(docs, models, names, text_col, kept).select(*unpacked(kept), *names)
 
 
 def rejected(prefix: str = "p_"):
@@ -237,6 +242,11 @@ def rejected(prefix: str = "p_"):
     return F.greatest(f"{prefix}toxic", f"{prefix}severe_toxic") >= THRESHOLD
 
 
+def clean(docs: DataFrame, models: list[Linear], chain=CHAIN, text_col: str = "text") -> DataFrame:
+    """The rows of docs that the chain doesn't reject, with all their columns. See ``scored``."""
+    return _with_scores(docs, models, [f"p_{n}" for n, _ in chain], text_col, docs.columns).where(~rejected()).select(*unpacked(docs.columns))
+
+
 def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     models = learnt(docs, table(spark, sf_dir, "labels"))

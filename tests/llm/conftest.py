@@ -27,7 +27,7 @@ def odd(spark):
         (None, None, None, None, None),
         (12, "123 456 !!! ###", "en", "d", 1),
     ]
-    extra = ("key", "n", "k1", "k2", "fp", "row", "size", "bytes", "root", "ids", "h", "id", "w0", "shard", "x")
+    extra = ("key", "n", "k1", "k2", "fp", "row", "size", "bytes", "root", "ids", "h", "id", "w0", "shard", "x", "text_", "__text", "__leaks", "__key", "__row", "meta.lang", "tick`ed", "c0", "left", "leaks", "signature", "c")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), *(T.StructField(c, T.StringType()) for c in extra)])
     return spark.createDataFrame([(*r, *(f"{c}-value" for c in extra)) for r in rows], schema)
 

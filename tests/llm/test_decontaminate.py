@@ -9,10 +9,10 @@ from stripewise.llm import decontaminate as d
 
 def plain(text, items):
     """Items whose best window reaches the similarity."""
-    s = d.shingles(text).tolist()
+    s = d.shingles(d.words_of(text)).tolist()
     out = {}
     for i, t in items:
-        own = d.shingles(t).tolist()
+        own = d.shingles(d.words_of(t)).tolist()
         n = min(len(own), len(s))
         if own and n and n >= d.SIMILARITY * len(own):
             best = max(d.similarity(Counter(s[k : k + n]), Counter(own)) for k in range(len(s) - n + 1))
@@ -57,13 +57,26 @@ def test_blocks_find_all_within_the_radius():
     assert got == {(w, k) for w in range(other.size) for k in range(40) if int(np.bitwise_count(other[w] ^ marks[k])) <= d.RADIUS}
 
 
+def test_short_items(spark):
+    items = [(1, "Paris"), (2, "forty two"), (3, "a b c d"), (4, "!!"), (5, None), (6, "forty two")]
+    index = d.Index(items)
+    assert index.search("He went to PARIS, twice to paris.") == [(1, 3, 1, 1.0)]
+    assert index.search("forty-two; a b c") == [(2, 0, 2, 1.0), (6, 0, 2, 1.0)]
+    assert index.search("x a b c d y") == [(3, 1, 4, 1.0)]
+    assert index.search("forty and two parisian b c d") == [] and index.search("") == [] and index.search(None) == []
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([("x-1", "A b C d")], "item_id string, text string")  # ids of any type
+    assert [(r.doc_id, r["__leaks"][0].item_id) for r in d.leaks(docs, bench).where("size(__leaks) > 0").collect()] == [(1, "x-1")]
+    assert [r.doc_id for r in d.clean(docs, bench).collect()] == [2]
+
+
 def test_odd_rows(spark, odd):
     from .conftest import PASSAGE
 
     bench = spark.createDataFrame([(1, PASSAGE, "z"), (2, None, "z"), (3, "", "z"), (4, "too short item", "z"), (1, PASSAGE, "z"), (None, PASSAGE, "z")], "item_id bigint, text string, key string")
-    found = d.leaks(odd, bench)
-    assert found.columns == [*odd.columns, "__leaks"] and found.count() == odd.count()
-    assert {r.doc_id for r in found.where("size(__leaks) > 0").collect()} == {8, 9}
+    found = d.leaks(odd, bench, name="found")
+    assert found.columns == [*odd.columns, "found"] and found.count() == odd.count()
+    assert {r.doc_id for r in found.where("size(found) > 0").collect()} == {8, 9}
     clean = d.clean(odd, bench)
     assert clean.columns == odd.columns and clean.count() == odd.count() - 2
     assert d.clean(odd, bench.limit(0)).count() == odd.count() and d.clean(odd.limit(0), bench).count() == 0

@@ -97,7 +97,12 @@ def shingle_set(text):
     return {b" ".join(words[k : k + 5]) for k in range(len(words) - 4)} or ({b" ".join(words)} if words else set())
 
 
-@pytest.mark.parametrize(("block", "members"), [(20_000, 2_000), (30, 2)])
+def similar(a, b):
+    n = len(a & b)
+    return n and n >= 0.8 * (len(a) + len(b) - n)
+
+
+@pytest.mark.parametrize(("block", "members"), [(20_000, 1_000), (30, 2)])
 def test_near_copies_at_a_similarity(spark, docs, small, sets, monkeypatch, block, members):
     monkeypatch.setattr(neardup, "BLOCK", block)
     monkeypatch.setattr(neardup, "MEMBERS", members)
@@ -108,15 +113,42 @@ def test_near_copies_at_a_similarity(spark, docs, small, sets, monkeypatch, bloc
     everything = base + edited
     own = [shingle_set(t) for _, t in everything]
     for a, b in itertools.combinations(range(len(own)), 2):
-        n = len(own[a] & own[b])
-        if everything[a][1] == everything[b][1] or (n and n >= 0.8 * (len(own[a]) + len(own[b]) - n)):
+        if everything[a][1] == everything[b][1] or similar(own[a], own[b]):
             sets.join(a, b)
     low = {}
     for k, (i, _) in enumerate(everything):
         low[sets.find(k)] = min(low.get(sets.find(k), i), i)
-    kept = {r.doc_id for r in neardup.one_of_each(df).collect()}
-    want = set(low.values())
-    assert want <= kept and len(kept - want) <= 2  # nothing goes wrongly; candidates find 98 of 100 at the threshold, nearly all above
+    assert {r.doc_id for r in neardup.one_of_each(df).collect()} == set(low.values())
+
+
+def test_near_copies_at_the_threshold(spark):
+    """Pairs of all lengths whose similarity is hardly 0.8 are all found, and those hardly below are not."""
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for k in range(400):
+        n = int(rng.integers(5, 15) if k % 2 else rng.integers(15, 400))
+        first = [f"{k}w{j}" for j in range(n)]
+        second = list(first)
+        while similar(shingle_set(" ".join(first)), shingle_set(" ".join(second))):  # from the front, up to where it ends
+            last, second = second, [f"{k}x{len(second)}", *second]
+        rows += [(4 * k, " ".join(first)), (4 * k + 1, " ".join(last)), (4 * k + 2, " ".join(f"y{w}" for w in first)), (4 * k + 3, " ".join(f"y{w}" for w in second))]
+        want[k] = {4 * k, 4 * k + 2, 4 * k + 3}
+    kept = {r.doc_id for r in neardup.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert kept == set().union(*want.values())
+
+
+def test_rarest_shingles_meet():
+    """Of two similar sets the rarest shingles have one in common, whatever the counts."""
+    rng = np.random.default_rng(1)
+    for _ in range(500):
+        n = int(rng.integers(1, 60))
+        levels = rng.integers(0, 4, neardup.SLOTS).astype(np.uint8)
+        pool = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64) * np.uint64(2)
+        common, rest = pool[: max(1, int(0.9 * n))], pool[n:]
+        a, b = (np.unique(np.r_[common, rest[rng.random(n) < 0.1]]) for _ in range(2))
+        both = np.intersect1d(a, b).size
+        if both >= 0.8 * (a.size + b.size - both):
+            assert np.intersect1d(neardup.rarest(a, levels, 0.8), neardup.rarest(b, levels, 0.8)).size
 
 
 def test_near_copies_of_odd_rows(odd):
@@ -125,3 +157,8 @@ def test_near_copies_of_odd_rows(odd):
     got = sorted((r.doc_id, r.key) for r in kept.collect())
     assert got == [(i, "key-value") for i in (1, 3, 5, 6, 8, 10, 11, 12)]
     assert neardup.one_of_each(odd.limit(0)).count() == 0
+
+
+def test_ids_of_any_type(spark):
+    df = spark.createDataFrame([("b", "one two three four five"), ("a", "one two three four five"), ("c", "else")], "doc_id string, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == {"a": "a", "b": "a", "c": "c"}

@@ -14,7 +14,7 @@ def test_finds_toxic_documents(spark, docs, sf):
     assert clean.where("hit").count() <= 0.02 * clean.count()
 
 
-def test_later_models_see_out_of_fold_odds_of_earlier_ones():
+def test_later_models_see_out_of_fold_probabilities_of_earlier_ones():
     rng = np.random.default_rng(0)
     n = 600
     y = rng.integers(0, 2, n)
@@ -55,3 +55,43 @@ def test_labels_without_quality_teach_the_toxic_model(spark):
     models = toxicity.learnt(docs, labels)
     got = {r.doc_id: r.p_toxic for r in toxicity.scored(docs, models, keep=["doc_id"]).collect()}
     assert all((p > 0.5) == bool(k % 2) for k, p in got.items())
+
+
+def test_chain_against_a_plain_version():
+    """Each category's model is fitted on its own words, the measurements and the earlier categories' probabilities, by plain gradient steps."""
+    rng = np.random.default_rng(2)
+    n = 300
+    y = rng.integers(0, 2, n)
+    second = np.where(rng.random(n) < 0.8, y, 1 - y)
+    lists = [(np.unique([7 if v else 8, 20 + k % 5, 11 if w else 12]), np.ones(np.unique([7 if v else 8, 20 + k % 5, 11 if w else 12]).size)) for k, (v, w) in enumerate(zip(y, second, strict=True))]
+    measures, folds = rng.random((n, 3)), np.arange(n) % toxicity.FOLDS
+    models = toxicity.chained(lists, measures, np.stack([y, second], axis=1), folds)
+
+    def fit(rows, dense, labels):
+        words = toxicity._chosen([lists[k] for k in rows], labels[rows].astype(float))
+        x = np.array([[float(w in lists[k][0]) for w in words] for k in rows])
+        mean, scale = dense[rows].mean(axis=0), dense[rows].std(axis=0) + 1e-6
+        full = np.hstack([x, (dense[rows] - mean) / scale, np.ones((len(rows), 1))])
+        w, penalty = np.zeros(full.shape[1]), np.r_[np.full(full.shape[1] - 1, toxicity.PENALTY), 1e-3]
+        for _ in range(60_000):
+            w -= 0.02 * (full.T @ (1 / (1 + np.exp(-full @ w)) - labels[rows]) + penalty * w)
+        return lambda k, d: 1 / (1 + np.exp(-(np.r_[[float(v in lists[k][0]) for v in words], (d - mean) / scale, 1.0] @ w)))
+
+    every = np.arange(n)
+    first = fit(every, measures, y)
+    out = np.zeros(n)
+    for f in range(toxicity.FOLDS):
+        part = fit(every[folds != f], measures, y)
+        out[folds == f] = [part(k, measures[k]) for k in every[folds == f]]
+    dense = np.hstack([measures, out[:, None]])
+    last = fit(every, dense, second)
+    got = toxicity.probabilities(models, lists, measures)
+    for k in range(0, n, 10):
+        p = first(k, measures[k])
+        assert abs(got[k, 0] - p) < 0.01 and abs(got[k, 1] - last(k, np.r_[measures[k], p])) < 0.02
+
+
+def test_sample_is_bounded_where_an_id_has_many_texts(spark):
+    docs = spark.createDataFrame([(1, f"text number {k} of one id") for k in range(2000)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    assert len(toxicity.learnt(docs, labels, sample=50)) == 3
