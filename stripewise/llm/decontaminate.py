@@ -12,12 +12,14 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import column, sliced, stored, table, unpacked, whole
 from .shingles import hashes
@@ -183,18 +185,21 @@ def _index(items, name: str) -> Index:
     return _KEPT[name]
 
 
-def _searching(items, name: str):
-    """Adds what is found to the last column; texts are in the one before."""
+def _searching(items, name: str, kind: T.DataType):
+    """A function of a text column: what is found in each text."""
 
-    def run(batches):
-        for batch in sliced(batches):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        arrow = to_arrow_type(kind)
+        for batch in batches:
             index = _index(items, name)
-            found = []
-            for text, old in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                found.append((old or []) + [{"item_id": a, "first_word": b, "n_words": c, "similarity": d} for a, b, c, d in index.search(text)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, batch.column(batch.num_columns - 1).type)], names=batch.schema.names)
+            parts = []
+            for low in range(0, len(batch), 1000):
+                found = [[{"item_id": a, "first_word": b, "n_words": c, "similarity": d} for a, b, c, d in index.search(text)] for text in batch.slice(low, 1000).to_pylist()]
+                parts.append(pa.array(found, arrow))
+            yield pa.concat_arrays(parts) if parts else pa.array([], arrow)
 
-    return run
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, kind)
 
 
 def passes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", bytes_: int = PASS_BYTES):
@@ -215,12 +220,13 @@ def _found(docs: DataFrame, benchmark: DataFrame, text_col: str, keep: list[str]
     """row (the columns ``keep``), text, and leaks."""
     spark = docs.sparkSession
     fields = [T.StructField("item_id", benchmark.schema[item_col].dataType), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("similarity", T.DoubleType())]
-    out = docs.select(whole(docs, keep).alias("row"), column(text_col).cast("string").alias("text"), F.lit(None).cast(T.ArrayType(T.StructType(fields))).alias("leaks"))
-    schema = out.schema
+    kind = T.ArrayType(T.StructType(fields))
+    out = docs.select(whole(docs, keep).alias("row"), column(text_col).cast("string").alias("text"), F.lit(None).cast(kind).alias("leaks"))
     for k, items in enumerate(passes(benchmark, item_col, item_text)):
         if k % 8 == 7:
             out = stored(out, "leaks")
-        out = out.mapInArrow(_searching(spark.sparkContext.broadcast(items), uuid.uuid4().hex), schema)  # at most PASS_BYTES
+        search = _searching(spark.sparkContext.broadcast(items), uuid.uuid4().hex, kind)  # at most PASS_BYTES
+        out = out.select("row", "text", (F.concat(F.col("leaks"), search("text")) if k else search("text")).alias("leaks"))
     return out
 
 

@@ -1,4 +1,4 @@
-"""Quality rules as a ledger of bitmasks: measure once, judge by any version of a policy, ablate by bits.
+"""Quality rules as a ledger of bitmasks: measure once, store, judge by any version of a policy, ablate by bits.
 
 Everything here is DataFrame functions. Arrays that are needed more than once are bound as lambda variables
 (``_let``), so that no rewriting of projections computes them again for each element.
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import stored, table
 
 # Fixed values of the contract: white space between words, and the symbols counted.
 SPACE = " \t\n\x0b\f\r"
@@ -142,7 +142,7 @@ def ablations(rows: DataFrame, policies: dict = POLICIES, rules: tuple[Rule, ...
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = judged(ledger(table(spark, sf_dir, "documents")))
+    rows = judged(stored(ledger(table(spark, sf_dir, "documents")), "ledger"))
     base = F.col("fail_bits").bitwiseAND(F.lit(mask(BASE))) != 0
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits", "policy")
 

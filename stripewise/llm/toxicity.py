@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -207,24 +208,26 @@ def learnt(docs: DataFrame, labels: DataFrame, chain=CHAIN, id_col: str = "doc_i
     return [Linear(np.asarray(r["words"], np.int64), np.asarray(r["weights"], np.float64), np.asarray(r["dense"], np.float64), r["bias"]) for r in got]
 
 
-def _scoring(models: list[Linear], names: list[str]):
-    def run(batches):
+def _probabilities(models: list[Linear], names: list[str]):
+    """A function of a text column; the other columns stay where they are."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             out = []
-            for low in range(0, batch.num_rows, 1024):
-                got = [features(x) for x in batch.column(batch.num_columns - 1).slice(low, 1024).to_pylist()]
+            for low in range(0, len(batch), 1024):
+                got = [features(x) for x in batch.slice(low, 1024).to_pylist()]
                 out.append(probabilities(models, [x[:2] for x in got], np.array([x[2] for x in got]).reshape(-1, _MEASURES)))
             scores = np.concatenate(out) if out else np.zeros((0, len(models)))
-            columns = [pa.array(scores[:, k]) if models else pa.array(np.zeros(batch.num_rows)) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], *names])
+            yield pa.StructArray.from_arrays([pa.array(scores[:, k] if models else np.zeros(len(batch))) for k in range(len(names))], names=names)
 
-    return run
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, T.StructType([T.StructField(n, T.DoubleType()) for n in names]))
 
 
 def _with_scores(docs: DataFrame, models: list[Linear], names: list[str], text_col: str, keep: list[str]) -> DataFrame:
     """row (the columns ``keep``) and the probabilities."""
-    taken = docs.select(whole(docs, keep).alias("row"), column(text_col).cast("string").alias("text"))
-    return taken.mapInArrow(_scoring(models, names), T.StructType([taken.schema["row"], *(T.StructField(n, T.DoubleType()) for n in names)]))
+    taken = docs.select(whole(docs, keep).alias("row"), _probabilities(models, names)(column(text_col).cast("string")).alias("p"))
+    return taken.select("row", *[F.col("p").getField(n).alias(n) for n in names])
 
 
 def scored(docs: DataFrame, models: list[Linear], chain=CHAIN, text_col: str = "text", keep: list[str] | None = None, prefix: str = "p_") -> DataFrame:

@@ -127,7 +127,7 @@ def _reader(with_payload: bool):
 
 
 def read_archive(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
-    """The records below path: record_id, page_id, kind, url, date, digest, bytes, refers_to and, if asked for, payload.
+    """The records below path (none where it has no records): record_id, page_id, kind, url, date, digest, bytes, refers_to and, if asked for, payload.
     Digest and size of responses are those of the bytes read; a revisit has the digest of its header and no size."""
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(_reader(payload), _FIELDS + (", payload binary" if payload else ""))
@@ -137,7 +137,7 @@ def resolve_revisits(spark: SparkSession, source: str, target: str, least: int =
     """Write the archive at source again at target: of responses with equal payloads of at least ``least`` bytes
     the one with the smallest page id (nulls last; then by record id) stays, others become revisit records that refer to it.
 
-    Only headers are shuffled by digest, combined before: a digest that a third of all records share is one
+    An archive without records gives another one. Only headers are shuffled by digest, combined before: a digest that a third of all records share is one
     row of a task. Payloads move at most once, with the decision on their record."""
     heads = read_archive(spark, source).where("kind = 'response'")
     order = F.struct(F.col("page_id").isNull(), F.col("page_id").cast(id_type), F.col("record_id"), F.col("url"), F.col("date"))
@@ -170,14 +170,15 @@ def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolved(spark, lean).select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
-# DuckDB: the same decisions from the table.
+# DuckDB: the same decisions from the table; of equal page ids, or with null ids only, one record is the response.
 OP4_SQL = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
 ), f AS (
-  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS low FROM p
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS low,
+         row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) AS k FROM p
 )
 SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
-       CASE WHEN payload_bytes >= 100 AND low < page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 100 AND low < page_id THEN low END AS refers_to FROM f
+       CASE WHEN payload_bytes >= 100 AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND k > 1 THEN low END AS refers_to FROM f
 """

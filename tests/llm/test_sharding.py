@@ -33,6 +33,18 @@ def test_odd_rows(odd):
     assert sharding.sharded(odd.limit(0), 3).count() == 0
 
 
+def test_equal_rows_are_spread(spark, monkeypatch):
+    """Half of all rows are equal: bytes stay near equal, places gapless, and each row comes out once."""
+    monkeypatch.setattr(sharding, "COPIES", 1000)
+    rows = spark.range(40_000).selectExpr("if(id % 2 = 0, 7, id) AS doc_id", "if(id % 2 = 0, 'the same text again', repeat('x', cast(id % 30 as int))) AS text")
+    got = sharding.sharded(rows, 40)
+    assert got.count() == 40_000 and got.where("doc_id = 7 and text_crc32 = 1").count() == 0 and got.where("doc_id = 7").count() == 20_001
+    by_shard = got.groupBy("shard").agg({"size": "sum", "slot": "max", "doc_id": "count"}).collect()
+    sizes = [r["sum(size)"] for r in by_shard]
+    assert len(sizes) == 40 and max(sizes) - min(sizes) < 0.02 * sum(sizes) / 40
+    assert all(r["max(slot)"] == r["count(doc_id)"] - 1 for r in by_shard) and got.select("shard", "slot").distinct().count() == 40_000
+
+
 def test_rebalancing_moves_little():
     import numpy as np
 

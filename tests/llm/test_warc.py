@@ -69,3 +69,15 @@ def test_query(spark, sf):
     from pyspark.sql import Row
 
     assert got == sorted(str(Row(page_id=a, payload_bytes=b, payload_digest=c, record_type=d, refers_to=e)) for a, b, c, d, e in plain(rows))
+
+
+def test_sql_agrees_on_repeated_and_null_ids(spark, pages):
+    import duckdb
+
+    a, b = shared_path(spark, "w"), shared_path(spark, "w")
+    warc.write_archive(pages, a)
+    warc.resolve_revisits(spark, a, b)
+    got = warc.resolved(spark, b).selectExpr("cast(page_id as bigint) page_id", "payload_bytes", "payload_digest", "record_type", "cast(refers_to as bigint) refers_to").collect()
+    db = duckdb.connect()
+    db.register("pages", pages.toPandas().astype({"page_id": "Int64"}))
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, db.sql(warc.OP4_SQL).fetchall()))
