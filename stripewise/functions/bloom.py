@@ -55,7 +55,7 @@ def hash_value(value, kind: str) -> int | None:
         return hash_long(int(value))
     if kind in ("float", "double"):
         x = np.float64(np.float32(value)) if kind == "float" else np.float64(value)
-        return hash_long(int(np.array(x + 0.0).view(np.int64)))
+        return hash_long(int(np.array(x).view(np.int64)))
     if kind in ("string", "varchar", "char"):
         return murmur3_64(value if isinstance(value, bytes) else str(value).encode())
     if kind == "binary":
@@ -76,7 +76,8 @@ class BloomFilter:
 
     @classmethod
     def from_message(cls, message: dict) -> BloomFilter:
-        words = message["words"] or [w for (w,) in struct.iter_unpack("<Q", message["bytes"] or b"\0" * 8)]
+        """A filter as a file has it; one without words says nothing and rules nothing out."""
+        words = message["words"] or [w for (w,) in struct.iter_unpack("<Q", message["bytes"] or b"")]
         return cls(64 * len(words), message["hashes"] or HASHES, words)
 
     @property
@@ -98,7 +99,7 @@ class BloomFilter:
             self.words[p >> 6] |= 1 << (p & 63)
 
     def test_hash(self, h: int) -> bool:
-        return all(self.words[p >> 6] >> (p & 63) & 1 for p in self._places(h))
+        return not self.words or all(self.words[p >> 6] >> (p & 63) & 1 for p in self._places(h))
 
     def add(self, value, kind: str = "string") -> None:
         h = hash_value(value, kind)
@@ -107,5 +108,7 @@ class BloomFilter:
 
     def might_contain(self, value, kind: str = "string") -> bool:
         """False: surely not there. True: perhaps, or filters say nothing about this kind."""
+        if kind in ("float", "double") and value == 0:  # writers keep the sign of zero
+            return any(self.test_hash(hash_long(bits)) for bits in (0, -(1 << 63)))
         h = hash_value(value, kind)
         return h is None or self.test_hash(h)

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.types import to_spark
 from ..operators import export
 from ..operators.predicate import Predicate as P
+from ..operators.predicate import prune_stripe
 from ..operators.selection import RowSelection, Selector
 from ..session import work_dir
-from ..sources.metadata import OrcFile, metadata, row_count
-from ..sources.scan import paths_of, scan
-from .layouts import orc_of
+from ..sources.metadata import OrcFile, metadata, might_contain, row_count
+from ..sources.scan import first_schema, from_bytes, paths_of, scan
+from .layouts import arrow_file, orc_of
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -90,12 +94,12 @@ def orc_scan_schema_override(spark, sf_dir):
     return scan(spark, orc_of(spark, sf_dir, "region", "indexed", "r_regionkey"), names=["k", "label"])
 
 
-@query("SELECT * FROM part")
+@query("SELECT o_orderkey, o_totalprice, 2 AS halves FROM orders")
 def orc_scan_byte_range(spark, sf_dir):
-    path = _part(spark, sf_dir, "striped")
+    path = _orders(spark, sf_dir, "striped")
     size = len(OrcFile(paths_of(spark, path)[0]).source)
-    halves = [scan(spark, path, byte_range=r) for r in ((0, size // 2), (size // 2, size))]
-    return halves[0].unionByName(halves[1])
+    halves = [scan(spark, path, ["o_orderkey", "o_totalprice"], byte_range=r) for r in ((0, size // 2), (size // 2, size))]
+    return halves[0].unionByName(halves[1]).withColumn("halves", F.lit(sum(not h.isEmpty() for h in halves)))
 
 
 @query("SELECT count(*) AS n FROM orders")
@@ -103,19 +107,61 @@ def orc_row_count(spark, sf_dir):
     return row_count(spark, _orders(spark, sf_dir, "plain"))
 
 
-@query("SELECT o_orderkey, o_orderkey - min(o_orderkey) OVER () AS d, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index FROM orders")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index FROM orders")
 def orc_row_index(spark, sf_dir):
-    df = scan(spark, _orders(spark, sf_dir, "striped"), ["o_orderkey"], row_index=True)
-    low = df.agg(F.min("o_orderkey").alias("low"))
-    return df.join(F.broadcast(low)).select("o_orderkey", (F.col("o_orderkey") - F.col("low")).alias("d"), "row_index")
+    return scan(spark, _orders(spark, sf_dir, "striped"), ["o_orderkey"], row_index=True)
 
 
-@query("SELECT o_orderkey, (epoch_us(o_orderdate) // 1000000)::DECIMAL(38,9)::VARCHAR AS seconds FROM orders")
+@query("SELECT o_orderkey, o_totalprice FROM orders")
+def orcx_batch_size(spark, sf_dir):
+    return scan(spark, _orders(spark, sf_dir, "striped"), ["o_orderkey", "o_totalprice"], row_index=True, batch_size=77).drop("row_index")
+
+
+@query("SELECT r_regionkey::BIGINT AS k, r_name AS label FROM region")
+def orc_scan_schema_cast(spark, sf_dir):
+    return scan(spark, orc_of(spark, sf_dir, "region", "indexed", "r_regionkey"), schema=T.StructType([T.StructField("k", T.LongType()), T.StructField("label", T.StringType())]))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def orc_from_bytes(spark, sf_dir):
+    at = OrcFile(paths_of(spark, orc_of(spark, sf_dir, "nation", "indexed", "n_nationkey"))[0]).source
+    return from_bytes(spark, at.read(0, len(at)))
+
+
+_TYPED = """WITH t AS (SELECT o_orderkey AS k, printf('key-%08d', o_orderkey) AS str, DATE '2020-01-01' + (o_orderkey // 10)::INT AS day, 1600000000000000 + o_orderkey * 1001003 AS us,
+(o_orderkey * 0.25)::DECIMAL(15,2) AS dec, (o_orderkey // 4000) % 2 = 0 AS flag, CASE WHEN (o_orderkey // 1000) % 3 = 1 AND o_orderkey % 500 = 7 THEN 'NaN'::DOUBLE ELSE o_orderkey / 2 END AS dbl,
+CASE WHEN o_orderkey % 10 = 3 THEN 0.0 ELSE o_orderkey + 1.0 END::DOUBLE AS zero, (o_orderkey / 4)::FLOAT AS flt, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS grp FROM orders)
+"""
+
+
+def _typed(spark, sf_dir, layout="typed"):
+    return orc_of(spark, sf_dir, "orders", layout, "k")
+
+
+@query(_TYPED + "SELECT k, us * 1000 AS ts FROM t")
+def ts_nanos(spark, sf_dir):
+    return scan(spark, _typed(spark, sf_dir), ["k", "ts"], timestamps="nanos")
+
+
+@query(_TYPED + "SELECT k, us AS ts FROM t")
+def ts_micros(spark, sf_dir):
+    return scan(spark, _typed(spark, sf_dir), ["k", "ts"], row_index=True, strict=True).select("k", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"))
+
+
+@query(_TYPED + "SELECT k, printf('%d.%06d000', us // 1000000, us % 1000000) AS seconds FROM t")
 def ts_decimal(spark, sf_dir):
-    path = f"{work_dir(spark)}/orc-ts-{abs(hash(sf_dir))}"
-    df = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.date_trunc("second", F.col("o_orderdate").cast("timestamp")).alias("seconds"))
-    df.coalesce(1).write.mode("overwrite").orc(path)
-    return scan(spark, path, timestamps="decimal").withColumn("seconds", F.col("seconds").cast("string"))
+    return scan(spark, _typed(spark, sf_dir), ["k", "ts"], timestamps="decimal").select("k", F.col("ts").cast("string").alias("seconds"))
+
+
+@query("SELECT n_nationkey AS id, n_nationkey % 2 AS tag, CASE WHEN n_nationkey % 2 = 0 THEN n_regionkey END AS number, CASE WHEN n_nationkey % 2 = 1 THEN n_name END AS text, 1000000007 * n_nationkey::BIGINT + 123456789 AS instant FROM nation")
+def orcx_unions_and_instants(spark, sf_dir):
+    return scan(spark, arrow_file(spark, sf_dir), timestamps="nanos").select("id", F.col("u.tag").cast("int").alias("tag"), F.col("u._union_0").alias("number"), F.col("u._union_1").alias("text"), "instant")
+
+
+@query("SELECT * FROM (VALUES (1, 'i64', 'bigint'), (2, 'i32', 'int'), (3, 'i16', 'smallint'), (4, 'i8', 'tinyint'), (5, 'f64', 'double'), (6, 'f32', 'float'), (7, 'flag', 'boolean'), (8, 'text', 'string'), (9, 'bytes', 'binary'), (10, 'day', 'date'), (11, 'dec', 'decimal(15,5)')) t(id, name, type)")
+def orc_types(spark, sf_dir):
+    root = first_schema(spark, _orders(spark, sf_dir, "flat"))
+    return spark.createDataFrame([(c.id, n, to_spark(c).simpleString()) for n, c in zip(root.names, root.children, strict=True)], "id int, name string, type string")
 
 
 # writing
@@ -140,6 +186,12 @@ def orc_write_small_stripes(spark, sf_dir):
     return _readable(scan(spark, orc_of(spark, sf_dir, "orders", "flat_striped", "i64")))
 
 
+@query("SELECT o_orderkey, o_orderstatus FROM orders")
+def orc_write_batches(spark, sf_dir):
+    """Written in batches of 100 rows against a declared schema."""
+    return scan(spark, _orders(spark, sf_dir, "batched"), ["o_orderkey", "o_orderstatus"])
+
+
 @query("SELECT c AS codec, n_nationkey, n_name, n_regionkey FROM nation, (VALUES ('none'), ('snappy'), ('zlib'), ('lzo'), ('zstd'), ('lz4')) t(c)")
 def orc_codecs(spark, sf_dir):
     out = None
@@ -164,7 +216,7 @@ _predicate("pred_eq", lambda: P.eq("p_size", 5), "p_size = 5")
 _predicate("pred_ne", lambda: P.ne("p_mark", 3), "p_mark <> 3")
 _predicate("pred_lt", lambda: P.lt("p_size", 10), "p_size < 10")
 _predicate("pred_lte", lambda: P.lte("p_size", 10), "p_size <= 10")
-_predicate("pred_gt", lambda: P.gt("p_retailprice", 1200.0), "p_retailprice > 1200")
+_predicate("pred_gt", lambda: P.gt("p_retailprice", 950.0), "p_retailprice > 950")
 _predicate("pred_gte", lambda: P.gte("p_brand", "Brand#3"), "p_brand >= 'Brand#3'")
 _predicate("pred_is_null", lambda: P.is_null("p_mark"), "p_mark IS NULL")
 _predicate("pred_is_not_null", lambda: P.is_not_null("p_mark"), "p_mark IS NOT NULL")
@@ -173,6 +225,26 @@ _predicate("pred_or", lambda: P.any_of(P.eq("p_size", 1), P.gt("p_size", 45)), "
 _predicate("pred_not", lambda: P.negation(P.any_of(P.lt("p_size", 10), P.negation(P.is_null("p_mark")))), "NOT (p_size < 10 OR NOT (p_mark IS NULL))")
 
 
+@query(_TYPED + "SELECT k, how FROM t, (VALUES ('native'), ('positions'), ('selection')) h(how) WHERE isnan(dbl)")
+def pred_nan(spark, sf_dir):
+    """NaN is above all numbers, in every way of scanning."""
+    path, p = _typed(spark, sf_dir), P.gt("dbl", 1e9)
+    n = OrcFile(paths_of(spark, path)[0]).rows
+    ways = {"native": {}, "positions": {"row_index": True}, "selection": {"selection": RowSelection.select_all(n)}}
+    return _ways(spark, path, p, ways)
+
+
+@query(_TYPED + "SELECT k, how FROM t, (VALUES ('native'), ('positions')) h(how) WHERE zero = 0")
+def pred_negative_zero(spark, sf_dir):
+    """-0.0 equals 0.0, whatever a Bloom filter holds."""
+    return _ways(spark, _typed(spark, sf_dir, "typed_bloomed"), P.eq("zero", 0.0), {"native": {}, "positions": {"row_index": True}})
+
+
+def _ways(spark, path, predicate, ways):
+    found = [scan(spark, path, ["k"], predicate=predicate, **options).select("k", F.lit(how).alias("how")) for how, options in ways.items()]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
 # pruning: whole row groups of 1000 rows
 
 _GROUPS = "WITH g AS (SELECT *, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS grp FROM orders), s AS (SELECT grp, min(o_orderkey) AS a, max(o_orderkey) AS b, min(o_totalprice) AS c, max(o_totalprice) AS d FROM g GROUP BY grp) SELECT o_orderkey, o_totalprice FROM g JOIN s USING (grp) WHERE "
@@ -184,18 +256,44 @@ def prune_row_groups(spark, sf_dir):
     return scan(spark, _orders(spark, sf_dir), ["o_orderkey", "o_totalprice"], predicate=p, prune_only=True)
 
 
-@query(_GROUPS + "a <= 4321 AND b >= 4321 AND EXISTS (SELECT 1 FROM orders WHERE o_orderkey = 4321)")
+def _prune(name: str, make: Callable[[], P], having: str) -> None:
+    """Whole row groups of the typed file whose statistics, as SQL over the group, may match."""
+
+    def run(spark, sf_dir):
+        return scan(spark, _typed(spark, sf_dir), ["k"], predicate=make(), prune_only=True)
+
+    run.__name__ = name
+    query(_TYPED + f"SELECT k FROM t WHERE grp IN (SELECT grp FROM t GROUP BY grp HAVING {having})")(run)
+
+
+_prune("prune_string", lambda: P.gt("str", "key-00009500"), "max(str) > 'key-00009500'")
+_prune("prune_date", lambda: P.lt("day", 18414), "min(day) < DATE '2020-06-01'")
+_prune("prune_timestamp", lambda: P.gte("ts", 1_600_010_000_000), "max(us) // 1000 + 1 >= 1600010000000")
+_prune("prune_decimal", lambda: P.lte("dec", 1000), "min(dec) <= 1000")
+_prune("prune_boolean", lambda: P.eq("flag", False), "bool_or(NOT flag)")
+_prune("prune_float", lambda: P.lt("flt", 1500.0), "min(flt) < 1500")
+_prune("prune_nan", lambda: P.gt("dbl", 1e9), "bool_or(isnan(dbl))")
+_prune("prune_not_equal", lambda: P.ne("flag", True), "bool_or(NOT flag)")
+
+_SCATTERED = "WITH g AS (SELECT *, (row_number() OVER (ORDER BY o_orderkey * 7919 % 10007, o_orderkey) - 1) // 1000 AS grp FROM orders) "
+
+
+def _scattered(spark, sf_dir):
+    return orc_of(spark, sf_dir, "orders", "scattered", "place, o_orderkey")
+
+
+@query(_SCATTERED + "SELECT o_orderkey, o_totalprice FROM g WHERE grp IN (SELECT grp FROM g WHERE o_orderkey = 4321)")
 def bloom_prune(spark, sf_dir):
-    return scan(spark, _orders(spark, sf_dir, "bloomed"), ["o_orderkey", "o_totalprice"], predicate=P.eq("o_orderkey", 4321), prune_only=True)
+    """Bounds keep every group here; only the filters tell."""
+    return scan(spark, _scattered(spark, sf_dir), ["o_orderkey", "o_totalprice"], predicate=P.eq("o_orderkey", 4321), prune_only=True)
 
 
-@query("SELECT n_name, true AS might_contain FROM nation")
+@query(_SCATTERED + """SELECT grp::BIGINT AS row_group, v::VARCHAR AS value, bool_or(o_orderkey = v) AS might_contain FROM g, (VALUES (17), (4321), (9876), (123456789), (-5)) t(v) GROUP BY grp, v
+UNION ALL SELECT grp::BIGINT, v, bool_or(o_orderpriority = v) FROM g, (VALUES ('1-URGENT'), ('none'), ('')) t(v) GROUP BY grp, v""")
 def bloom_might_contain(spark, sf_dir):
-    path = orc_of(spark, sf_dir, "nation", "bloomed", "n_nationkey")
-    file = OrcFile(paths_of(spark, path)[0])
-    filters = [b for s in file.stripes for b in s.blooms(file.column("n_name").id)]
-    names = [r["n_name"] for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name").collect()]
-    return spark.createDataFrame([(n, any(b.might_contain(n, "string") for b in filters)) for n in names], "n_name string, might_contain boolean")
+    path = _scattered(spark, sf_dir)
+    found = might_contain(spark, path, "o_orderkey", [17, 4321, 9876, 123456789, -5]).unionByName(might_contain(spark, path, "o_orderpriority", ["1-URGENT", "none", ""]))
+    return found.select("row_group", "value", "might_contain")
 
 
 # selections by position
@@ -238,10 +336,32 @@ def rowsel_with_predicate(spark, sf_dir):
     return scan(spark, _orders(spark, sf_dir, "striped"), ["o_orderkey", "o_totalprice"], selection=RowSelection([(1000, 1100)], _rows(spark, sf_dir)), predicate=P.ne("o_orderkey", 0))
 
 
-@query("SELECT 1000::BIGINT AS row_count, 250::BIGINT AS selected, 750::BIGINT AS skipped, true AS any_selected")
+@query(_GROUPS.replace("SELECT o_orderkey, o_totalprice FROM g", "SELECT (SELECT count(*) FROM orders) AS row_count, count(*) AS selected, (SELECT count(*) FROM orders) - count(*) AS skipped, count(*) > 0 AS any_selected FROM g") + "b > 12500")
 def rowsel_counts(spark, sf_dir):
-    s = RowSelection([(0, 100), (500, 650)], 1000)
-    return spark.createDataFrame([(s.row_count, s.selected_row_count, s.skipped_row_count, s.selects_any)], "row_count bigint, selected bigint, skipped bigint, any_selected boolean")
+    file = OrcFile(paths_of(spark, _orders(spark, sf_dir))[0])
+    parts = [RowSelection.from_row_groups(prune_stripe(P.gt("o_orderkey", 12500), x), file.stride, x.rows) for x in file.stripes]
+    counts = (sum(x.row_count for x in parts), sum(x.selected_row_count for x in parts), sum(x.skipped_row_count for x in parts), any(x.selects_any for x in parts))
+    return spark.createDataFrame([counts], "row_count bigint, selected bigint, skipped bigint, any_selected boolean")
+
+
+@query("SELECT o_orderkey, CASE WHEN rn < 700 THEN 'first' ELSE 'rest' END AS part FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS rn FROM orders) WHERE rn BETWEEN 600 AND 799 OR rn BETWEEN 900 AND 949")
+def rowsel_split(spark, sf_dir):
+    n = _rows(spark, sf_dir)
+    first, rest = RowSelection([(600, 800), (900, 950)], n).split_off(700)
+    moved = RowSelection.from_selectors([Selector.skip_rows(700), *rest.selectors])
+    return _selected(spark, sf_dir, first).select("o_orderkey", F.lit("first").alias("part")).unionByName(_selected(spark, sf_dir, moved).select("o_orderkey", F.lit("rest").alias("part")))
+
+
+@query(_ROWS + "rn BETWEEN 350 AND 399")
+def rowsel_intersection(spark, sf_dir):
+    n = _rows(spark, sf_dir)
+    both = RowSelection([(100, 400)], n).intersection(RowSelection([(350, 900)], n)).intersection(RowSelection.select_all(n))
+    return _selected(spark, sf_dir, both)
+
+
+@query(_ROWS + "false")
+def rowsel_skip_all(spark, sf_dir):
+    return _selected(spark, sf_dir, RowSelection.skip_all(_rows(spark, sf_dir)))
 
 
 # metadata against the data it describes
@@ -274,20 +394,43 @@ def row_group_stats(spark, sf_dir):
     return metadata(spark, _orders(spark, sf_dir), "row_groups").where("name = 'o_orderkey'").select("row_group", "n_values", "min", "max")
 
 
-@query("SELECT count(*)::BIGINT AS n_rows, true AS several FROM orders")
+@query("""SELECT 'bytes' AS name, 'binary' AS kind, count(*) AS n_values, NULL::DOUBLE AS min, NULL::DOUBLE AS max, sum(o_orderkey % 5)::DOUBLE AS sum FROM orders
+UNION ALL """ + _TYPED.replace("WITH t AS (", "SELECT * FROM (WITH t AS (") + """SELECT 'dec', 'decimal', count(*), min(dec)::DOUBLE, max(dec)::DOUBLE, sum(dec)::DOUBLE FROM t
+UNION ALL SELECT 'flt', 'double', count(*), min(flt), max(flt), sum(flt::DOUBLE) FROM t
+UNION ALL SELECT 'day', 'date', count(*), min(day) - DATE '1970-01-01', max(day) - DATE '1970-01-01', NULL FROM t
+UNION ALL SELECT 'flag', 'bucket', count(*), NULL, NULL, count(*) FILTER (flag) FROM t
+UNION ALL SELECT 'ts', 'timestamp', count(*), min(us) // 1000, max(us) // 1000, NULL FROM t)""")
+def stats_typed(spark, sf_dir):
+    df = metadata(spark, _typed(spark, sf_dir), "column_statistics").where("stripe is null").where(F.col("name").isin("bytes", "dec", "flt", "day", "flag", "ts"))
+    return df.select("name", "kind", "n_values", *[F.col(c).cast("double").alias(c) for c in ("min", "max", "sum")])
+
+
+@query("SELECT count(*)::BIGINT AS n_rows, max(o_orderkey)::VARCHAR AS last, true AS several, true AS in_order FROM orders")
 def stripes(spark, sf_dir):
-    df = metadata(spark, _orders(spark, sf_dir, "striped"), "stripes")
-    return df.agg(F.sum("rows").cast("bigint").alias("n_rows"), (F.count("*") >= 1).alias("several"))
+    """Stripes follow each other without gaps, and the last one's statistics have the largest key."""
+    path = _orders(spark, sf_dir, "striped")
+    last = metadata(spark, path, "column_statistics").where("name = 'o_orderkey' and stripe is not null").select("stripe", F.col("max").alias("high"))
+    before = Window.partitionBy("path").orderBy("stripe")
+    rows = metadata(spark, path, "stripes").join(last, "stripe").withColumn("want", F.coalesce(F.lag(F.col("first_row") + F.col("rows")).over(before), F.lit(0)))
+    return rows.agg(F.sum("rows").cast("bigint").alias("n_rows"), F.max_by("high", "stripe").alias("last"), (F.count("*") > 1).alias("several"), F.bool_and(F.col("want") == F.col("first_row")).alias("in_order"))
 
 
-@query()
+@query("SELECT 'ROW_INDEX' AS kind, count(*) + 1 AS n, true AS fills FROM (DESCRIBE orders) UNION ALL SELECT 'BLOOM_FILTER_UTF8', count(*), true FROM (DESCRIBE orders)")
 def layout(spark, sf_dir):
-    return metadata(spark, _orders(spark, sf_dir, "bloomed"), "streams").drop("path")
+    """An index for each column and the root, a filter for each column, and together they fill the index section."""
+    path = _orders(spark, sf_dir, "bloomed")
+    kinds = metadata(spark, path, "streams").where(F.col("kind").isin("ROW_INDEX", "BLOOM_FILTER_UTF8")).groupBy("stripe", "kind").agg(F.count("*").alias("n"), F.sum("length").alias("length"))
+    whole = kinds.groupBy("stripe").agg(F.sum("length").alias("all"))
+    return kinds.join(whole, "stripe").join(metadata(spark, path, "stripes").select("stripe", "index_length"), "stripe").select("kind", "n", (F.col("all") == F.col("index_length")).alias("fills"))
 
 
-@query()
+@query("SELECT 'o_orderstatus' AS name, 'DICTIONARY_V2' AS kind, count(DISTINCT o_orderstatus) AS dictionary_size FROM orders UNION ALL SELECT 'o_orderpriority', 'DICTIONARY_V2', count(DISTINCT o_orderpriority) FROM orders UNION ALL SELECT 'o_orderkey', 'DIRECT_V2', NULL UNION ALL SELECT 'o_totalprice', 'DIRECT', NULL")
 def encodings(spark, sf_dir):
-    return metadata(spark, _orders(spark, sf_dir), "encodings").drop("path")
+    path = _orders(spark, sf_dir)
+    root = first_schema(spark, path)
+    names = F.create_map(*[F.lit(x) for n, c in zip(root.names, root.children, strict=True) for x in (c.id, n)])
+    df = metadata(spark, path, "encodings").withColumn("name", names[F.col("column").cast("int")])
+    return df.where(F.col("name").isin("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")).select("name", "kind", F.when(F.col("kind").startswith("DICT"), F.col("dictionary_size")).alias("dictionary_size"))
 
 
 @query("SELECT count(*) AS n, 'zstd' AS compression, 1000::BIGINT AS stride FROM orders")
@@ -314,8 +457,10 @@ def export_json(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 25")
 def export_limit(spark, sf_dir):
-    df = scan(spark, _orders(spark, sf_dir, "striped"), ["o_orderkey", "o_orderpriority"], selection=RowSelection([(0, 25)], _rows(spark, sf_dir)))
-    return df
+    """The export of the command line with two columns and a limit."""
+    file = OrcFile(paths_of(spark, _orders(spark, sf_dir, "striped"))[0])
+    head, *rows = [x.split(",") for x in export.lines(file, "csv", ["o_orderkey", "o_orderpriority"], limit=25, batch_size=10)]
+    return spark.createDataFrame([(int(a), b) for a, b in rows], f"{head[0]} bigint, {head[1]} string")
 
 
 @query("SELECT event_id, user_id FROM events WHERE event_id < 1000")

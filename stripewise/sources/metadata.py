@@ -271,6 +271,23 @@ def metadata(spark: SparkSession, path: str, table: str = "files") -> DataFrame:
     return listed(spark, path, "*").where("length > 0").select("path").mapInArrow(run, schema)  # the files that scan() reads
 
 
+def might_contain(spark: SparkSession, path: str, column: str, values: list) -> DataFrame:
+    """path, stripe, row_group, value (as text) and might_contain: what the Bloom filters of a column say about some values, of
+    each row group of all files below path. True where a group has no filter. Executors read the filters."""
+
+    def run(batches):
+        for batch in batches:
+            for p in batch.column(0).to_pylist():
+                file = OrcFile(p)
+                kind = file.column(column)
+                for s in file.stripes:
+                    filters = s.blooms(kind.id) or [None] * len(s.row_groups)
+                    rows = [(k, str(v), f is None or f.might_contain(v, kind.kind)) for k, f in enumerate(filters) for v in values]
+                    yield pa.RecordBatch.from_arrays([pa.array([p] * len(rows)), pa.array([s.number] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], names=["path", "stripe", "row_group", "value", "might_contain"])
+
+    return listed(spark, path, "*").where("length > 0").select("path").mapInArrow(run, "path string, stripe bigint, row_group bigint, value string, might_contain boolean")
+
+
 def row_count(spark: SparkSession, path: str) -> DataFrame:
     """n, the rows of all files below path, from their footers alone."""
     return metadata(spark, path, "files").agg(F.coalesce(F.sum("rows"), F.lit(0)).cast("bigint").alias("n"))

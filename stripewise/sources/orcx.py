@@ -58,9 +58,8 @@ def converted(array: pa.Array, t: OrcType, timestamps: str, strict: bool) -> pa.
         if timestamps == "nanos":
             return pa.array(nanos, pa.int64(), mask=null)
         if timestamps == "decimal":
-            from decimal import Decimal
-
-            return pa.array([None if n else Decimal(int(x)).scaleb(-9) for x, n in zip(nanos, null, strict=True)], pa.decimal128(38, 9))
+            wide = np.stack([nanos, nanos >> 63], axis=1)  # 128 bits, the lower ones first
+            return pa.Array.from_buffers(pa.decimal128(38, 9), len(nanos), [pa.array(~null).buffers()[1], pa.py_buffer(np.ascontiguousarray(wide))])
         if strict and (nanos[~null] % 1000).any():
             raise OrcFormatError("TimestampPrecision", "a timestamp has nanoseconds that microseconds cannot hold")
         micros = pa.array(nanos // 1000, pa.int64(), mask=null)
@@ -114,10 +113,12 @@ class OrcxReader(DataSourceReader):
         if self.columns:
             with file.source.open() as handle:
                 data = orc.ORCFile(handle).read_stripe(part.stripe, columns=self.columns)
+            # nested columns share their values among rows, so a stripe is converted once and then sliced
+            data = {c: converted(data.column(data.schema.get_field_index(c)), types[c], self.timestamps, self.strict) for c in self.columns}
         for a, b in at.ranges:
             for low in range(a, b, self.batch):
                 n = min(self.batch, b - low)
-                arrays = [converted(data.column(data.schema.get_field_index(c)).slice(low, n), types[c], self.timestamps, self.strict) for c in self.columns]
+                arrays = [data[c].slice(low, n) for c in self.columns]
                 if self.position:
                     arrays.append(pa.array(np.arange(part.first_row + low, part.first_row + low + n), pa.int64()))
                 if self.path:

@@ -8,6 +8,7 @@ from collections.abc import Iterable
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..errors import OrcFormatError
 from ..operators.predicate import Predicate, prune_stripe
@@ -93,6 +94,7 @@ def scan(
     ids: Iterable[int] | None = None,
     missing: str = "error",
     names: list[str] | None = None,
+    schema: StructType | None = None,
     byte_range: tuple[int, int] | None = None,
     selection: RowSelection | None = None,
     predicate: Predicate | None = None,
@@ -107,6 +109,7 @@ def scan(
 
     columns, ids   top-level columns by name or pre-order id, in file order; ``missing`` says what unknown ones do (error, ignore)
     names          new names of all columns of the file, by position
+    schema         new names and types of all columns of the file, by position; values are cast, and what doesn't fit raises
     byte_range     stripes whose first byte lies in [start, end)
     selection      rows by position in the file (one file only)
     predicate      exact; with prune_only whole row groups that may match are returned and rows are not filtered
@@ -116,6 +119,8 @@ def scan(
     Without positions, special types or names this is Spark's own reader."""
     if timestamps not in ("micros", "nanos", "decimal"):
         raise ValueError(f"timestamps cannot be {timestamps}")
+    if schema is not None:
+        names = [f.name for f in schema.fields]
     special = byte_range is not None or selection is not None or prune_only or row_index or file_path or names or strict or timestamps != "micros" or ids is not None
     if not special:
         root = first_schema(spark, path)
@@ -135,16 +140,17 @@ def scan(
     need = wanted
     if predicate is not None and not prune_only:
         need = [n for n in root.names if n in wanted or n in predicate.columns()]
-    schema = output_schema(root, need, timestamps, None, row_index or not need, file_path)
+    read = output_schema(root, need, timestamps, None, row_index or not need, file_path)
     parts = plan_all(spark, files, byte_range, selection, predicate)
     spark.dataSource.register(OrcxSource)
-    options = {"schema": schema.json(), "columns": json.dumps(need), "parts": json.dumps([[p.path, p.stripe, p.first_row, p.rows, p.ranges] for p in parts]), "timestamps": timestamps, "strict": str(strict).lower(), "position": str(row_index or not need).lower(), "file": str(file_path).lower(), "batch": str(batch_size)}
+    options = {"schema": read.json(), "columns": json.dumps(need), "parts": json.dumps([[p.path, p.stripe, p.first_row, p.rows, p.ranges] for p in parts]), "timestamps": timestamps, "strict": str(strict).lower(), "position": str(row_index or not need).lower(), "file": str(file_path).lower(), "batch": str(batch_size)}
     df = spark.read.format("orcx").options(**options).load()
     if predicate is not None and not prune_only:
         df = df.where(predicate.condition())
     new = dict(zip(root.names, names, strict=True)) if names else {}
+    types = dict(zip(root.names, [f.dataType for f in schema.fields], strict=True)) if schema is not None else {}
     extra = ["row_index"] * row_index + ["file_path"] * file_path
-    return df.select(*[F.col(f"`{n}`").alias(new.get(n, n)) for n in wanted], *extra)
+    return df.select(*[(F.col(f"`{n}`").cast(types[n]) if n in types else F.col(f"`{n}`")).alias(new.get(n, n)) for n in wanted], *extra)
 
 
 def from_bytes(spark: SparkSession, data: bytes) -> DataFrame:
