@@ -7,7 +7,7 @@ are told apart by refinement, coarse to fine, and only those still in a shared b
    first bytes. Equal strings have equal anchors at equal distances, so the initial buckets are
    those of anchors' q-grams; an anchor stands for all places between two changes of the minimum. About one
    position in 85 is an anchor. Anchors alone in their bucket are done: nothing of theirs repeats.
-2. Shared buckets are split by the hash of the whole region that the anchor's places cover. A
+2. Shared buckets are split by 128 bits of hash of the whole region that the anchor's places cover. A
    region found twice repeats as a whole, and counts as one from here on, however many copies it has.
 3. What is left (ends of matches, edits) is refined by place: buckets of 8-grams are sorted by the bucket of
    the places 8 and 16 bytes later, those of 24-grams by the buckets 24 and 48 bytes later and so on up to ``length``; each
@@ -90,8 +90,8 @@ def _gram(length: int) -> int:
 
 
 def anchors(data: bytes, length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Blocks of (anchor, first place, last place, bucket, region): places first..last have this anchor; bucket is the
-    q-gram's hash and region that of the bytes from the first place to the end of the last place's string."""
+    """Blocks of (anchor, first place, last place, bucket, region, region): places first..last have this anchor; bucket is the
+    q-gram's hash and the regions two of the bytes from the first place to the end of the last place's string."""
     q = _gram(length)
     window = length - q + 1
     hashes = _rolling(1)
@@ -112,19 +112,21 @@ def anchors(data: bytes, length: int) -> Iterator[tuple[np.ndarray, ...]]:
         cut = np.flatnonzero(at[1:] != at[:-1]) + 1
         first, last = np.r_[0, cut], np.r_[cut - 1, n - 1]
         own = at[first]
-        region = _mix(hashes.between(sums, first, last + length) ^ ((own - first).astype(np.uint64) << _U(20)) ^ ((last - first).astype(np.uint64) << _U(40)))
-        yield own + low, first + low, last + low, grams[own], region
+        place = ((own - first).astype(np.uint64) << _U(20)) ^ ((last - first).astype(np.uint64) << _U(40))
+        other = _rolling(2)
+        regions = [_mix(r.between(x, first, last + length) ^ place) for r, x in ((hashes, sums), (other, other.sums(whole[low : low + n + length - 1])))]
+        yield own + low, first + low, last + low, grams[own], *regions
 
 
-_ANCHORS = "kh bigint, rh bigint, k1 bigint, k2 bigint, a int, back short, span short"
+_ANCHORS = "kh bigint, rh bigint, rh2 bigint, k1 bigint, k2 bigint, a int, back short, span short"
 
 
 def _find_anchors(length: int):
-    schema = ["kh", "rh", "k1", "k2", "a", "back", "span"]
+    schema = ["kh", "rh", "rh2", "k1", "k2", "a", "back", "span"]
 
     def out(parts):
-        k1, k2, at, first, last, bucket, region = (np.concatenate(x) for x in zip(*parts, strict=True))
-        columns = [bucket.view(np.int64), region.view(np.int64), k1, k2, at.astype(np.int32), (at - first).astype(np.int16), (last - first).astype(np.int16)]
+        k1, k2, at, first, last, bucket, region, other = (np.concatenate(x) for x in zip(*parts, strict=True))
+        columns = [bucket.view(np.int64), region.view(np.int64), other.view(np.int64), k1, k2, at.astype(np.int32), (at - first).astype(np.int16), (last - first).astype(np.int16)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=schema)
 
     def run(batches):
@@ -152,15 +154,14 @@ def _contexts(length: int):
         for batch in sliced(batches, 100):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             for row, wanted in enumerate(batch.column("wanted").to_pylist()):
-                data, lists = texts[row], [[] for _ in range(7)]
-                for x in wanted:
-                    first = x["a"] - x["back"]
-                    for k, v in enumerate((x["kh"], x["n"], first, x["span"], data[first : first + x["span"] + length])):
-                        lists[k].append(v)
-                n = len(wanted)
-                k1, k2 = batch.column("k1")[row].as_py(), batch.column("k2")[row].as_py()
-                arrays = [pa.array(lists[0], pa.int64()), pa.array(lists[1], pa.int64()), pa.array([k1] * n, pa.int64()), pa.array([k2] * n, pa.int64()), pa.array(lists[2], pa.int32()), pa.array(lists[3], pa.int16()), pa.array(lists[4], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["kh", "n", "k1", "k2", "first", "span", "context"])
+                k1, k2, data = batch.column("k1")[row].as_py(), batch.column("k2")[row].as_py(), texts[row]
+                for low in range(0, len(wanted), 10_000):
+                    part = wanted[low : low + 10_000]
+                    firsts = [x["a"] - x["back"] for x in part]
+                    arrays = [pa.array([x[c] for x in part], t) for c, t in (("kh", pa.int64()), ("many", pa.bool_()), ("n", pa.int64()))]
+                    arrays += [pa.array([k] * len(part), pa.int64()) for k in (k1, k2)]
+                    arrays += [pa.array(firsts, pa.int32()), pa.array([x["span"] for x in part], pa.int16()), pa.array([data[f : f + x["span"] + length] for f, x in zip(firsts, part, strict=True)], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["kh", "many", "n", "k1", "k2", "first", "span", "context"])
 
     return run
 
@@ -204,7 +205,7 @@ def _runs(k1, k2, first, span, hit) -> tuple[list, ...]:
 
 
 def _refine(length: int):
-    """Refines the contexts of each bucket; those of too large ones come out as they are (context not null)."""
+    """Refines the contexts of each bucket; those of buckets with too many come out as they are (context not null)."""
     names = ["k1", "k2", "first", "last", "n", "context"]
 
     def flush(held):
@@ -233,33 +234,26 @@ def _refine(length: int):
         return pa.RecordBatch.from_arrays([pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(first), pa.array(first + np.array(columns[4], np.int64)), pa.array(columns[0], pa.int64()), pa.array(columns[5], pa.binary())], names=names)
 
     def run(batches):
-        done, group, key, hot, size = [], [], None, False, 0
+        held, key, size, many = [], None, 0, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("kh", "n", "k1", "k2", "first", "span", "context")]
-            for kh, *row in zip(*columns, strict=True):
-                if kh != key:
-                    if hot and group:
-                        yield raw(group)
-                        size -= sum(len(x[5]) for x in group)
-                        group = []
-                    done += group
-                    group, key, hot = [], kh, False
-                    if size > TOGETHER:
-                        yield from flush(done)
-                        done, size = [], 0
-                group.append(row)
+            columns = [batch.column(c).to_pylist() for c in ("kh", "many", "n", "k1", "k2", "first", "span", "context")]
+            for kh, hot, *row in zip(*columns, strict=True):
+                if hot:
+                    many.append(row)
+                    if len(many) == 1000:
+                        yield raw(many)
+                        many = []
+                    continue
+                if kh != key and size > TOGETHER:
+                    yield from flush(held)
+                    held, size = [], 0
+                key = kh
+                held.append(row)
                 size += len(row[5])
-                if len(group) > MOST or (hot and len(group) >= 1000):
-                    yield raw(group)
-                    size -= sum(len(x[5]) for x in group)
-                    group, hot = [], True
-            if hot and group:
-                yield raw(group)
-                size -= sum(len(x[5]) for x in group)
-                group = []
-        done += group
-        if done:
-            yield from flush(done)
+        if many:
+            yield raw(many)
+        if held:
+            yield from flush(held)
 
     return run
 
@@ -317,10 +311,11 @@ def _bucketed(texts: DataFrame) -> DataFrame:
     name = shared_path(spark, "texts")
     n = shuffle_partitions(spark)
     own = "texts_" + name.rpartition("-")[2]
-    texts.write.bucketBy(n, "k1", "k2").option("path", name).option("compression", "zstd").format("parquet").saveAsTable(own)
-    out = spark.table(own)
-    spark.sql(f"DROP TABLE {own}")  # the catalog's entry; the files at ``path`` stay for out
-    return out
+    try:
+        texts.write.bucketBy(n, "k1", "k2").option("path", name).option("compression", "zstd").format("parquet").saveAsTable(own)
+        return spark.table(own)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {own}")  # the catalog's entry alone; the files at ``path`` stay
 
 
 def repeats(docs: DataFrame, text, length: int = LENGTH, with_text: bool = False) -> DataFrame:
@@ -334,14 +329,16 @@ def repeats(docs: DataFrame, text, length: int = LENGTH, with_text: bool = False
     # stored, so that the join below reads plain shuffles, whose skewed partitions Spark can split
     shared = stored(found.select("kh").groupBy("kh").agg(F.count("*").alias("c")).where("c > 1").select("kh"), "shared")
     anchors_ = stored(found.join(shared, "kh", "left_semi"), "anchors")
-    regions = stored(anchors_.groupBy("kh", "rh").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "a", "back", "span")).alias("x")), "regions")
-    mixed = regions.groupBy("kh").agg(F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1 and least = 1").select("kh")
-    wanted = regions.join(mixed, "kh", "left_semi").select("x.k1", "x.k2", F.struct("kh", "n", "x.a", "x.back", "x.span").alias("w")).groupBy("k1", "k2").agg(F.collect_list("w").alias("wanted"))
-    contexts = texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(_contexts(length), "kh bigint, n bigint, k1 bigint, k2 bigint, first int, span short, context binary")
-    refined_ = stored(contexts.repartition(n, "kh").sortWithinPartitions("kh").mapInArrow(_refine(length), "k1 bigint, k2 bigint, first bigint, last bigint, n bigint, context binary"), "refined")
+    regions = stored(anchors_.groupBy("kh", "rh", "rh2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "a", "back", "span")).alias("x")), "regions")
+    mixed = regions.groupBy("kh").agg(F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1 and least = 1").select("kh", (F.col("c") > MOST).alias("many"))
+    wanted = regions.join(mixed, "kh").select("x.k1", "x.k2", F.struct("kh", "many", "n", "x.a", "x.back", "x.span").alias("w")).groupBy("k1", "k2").agg(F.collect_list("w").alias("wanted"))
+    contexts = texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(_contexts(length), "kh bigint, many boolean, n bigint, k1 bigint, k2 bigint, first int, span short, context binary")
+    # members of too large buckets are counted elsewhere, so they are dealt out over all tasks
+    dealt = contexts.repartition(n, "kh", F.when(F.col("many"), F.xxhash64("k1", "k2", "first")))
+    refined_ = stored(dealt.sortWithinPartitions("kh").mapInArrow(_refine(length), "k1 bigint, k2 bigint, first bigint, last bigint, n bigint, context binary"), "refined")
     ends = refined_.where("context is null").select("k1", "k2", "first", "last")
     hot = refined_.where("context is not null")
-    whole = anchors_.join(regions.where("n > 1").select("kh", "rh"), ["kh", "rh"]).select("k1", "k2", (F.col("a") - F.col("back")).cast("bigint").alias("first"), (F.col("a") - F.col("back") + F.col("span")).cast("bigint").alias("last"))
+    whole = anchors_.join(regions.where("n > 1").select("kh", "rh", "rh2"), ["kh", "rh", "rh2"]).select("k1", "k2", (F.col("a") - F.col("back")).cast("bigint").alias("first"), (F.col("a") - F.col("back") + F.col("span")).cast("bigint").alias("last"))
     runs = whole.unionByName(ends)
     if not hot.isEmpty():
         runs = runs.unionByName(_by_place(hot, length))
