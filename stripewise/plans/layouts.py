@@ -85,6 +85,7 @@ LAYOUTS: dict[str, tuple[Callable[[DataFrame], DataFrame], dict]] = {
     "flat": (_flat, {}),
     "flat_striped": (_flat, {"single_file": True, "stripe_bytes": 32 << 10}),
     "nested": (_nested, {}),
+    "by_rows": (_same, {"single_file": True, "stripe_rows": 1000, "check_rows": 500, "batch_rows": 500, "stride": 1000}),
     "batched": (_same, {"batch_rows": 100, "declared": True}),
     "typed": (_typed, {"single_file": True, "stride": 1000}),
     "typed_bloomed": (_typed, {"single_file": True, "stride": 1000, "bloom": True}),

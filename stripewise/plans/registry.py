@@ -415,6 +415,15 @@ def stripes(spark, sf_dir):
     return rows.agg(F.sum("rows").cast("bigint").alias("n_rows"), F.max_by("high", "stripe").alias("last"), (F.count("*") > 1).alias("several"), F.bool_and(F.col("want") == F.col("first_row")).alias("in_order"))
 
 
+@query("""SELECT ((rn - 1) // 1000)::BIGINT AS stripe, count(*) AS rows, (min(rn) - 1)::BIGINT AS first_row, min(o_orderkey)::VARCHAR AS min, max(o_orderkey)::VARCHAR AS max
+FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders) GROUP BY (rn - 1) // 1000""")
+def stripes_flushed(spark, sf_dir):
+    """Stripes of 1000 rows each, flushed by count, with their own statistics."""
+    path = _orders(spark, sf_dir, "by_rows")
+    keys = metadata(spark, path, "column_statistics").where("name = 'o_orderkey' and stripe is not null").select("stripe", "min", "max")
+    return metadata(spark, path, "stripes").select("stripe", "rows", "first_row").join(keys, "stripe")
+
+
 @query("SELECT 'ROW_INDEX' AS kind, count(*) + 1 AS n, true AS fills FROM (DESCRIBE orders) UNION ALL SELECT 'BLOOM_FILTER_UTF8', count(*), true FROM (DESCRIBE orders)")
 def layout(spark, sf_dir):
     """An index for each column and the root, a filter for each column, and together they fill the index section."""

@@ -18,6 +18,7 @@ def write(
     path: str,
     compression: str = "zstd",
     stripe_bytes: int | None = None,
+    stripe_rows: int | None = None,
     check_rows: int | None = None,
     stride: int | None = None,
     bloom_columns: Iterable[str] = (),
@@ -31,7 +32,8 @@ def write(
 ) -> None:
     """Write df below path.
 
-    stripe_bytes and stride set the sizes of stripes and row groups (stride 0: no indexes); check_rows says after how many rows the writer
+    stripe_bytes and stride set the sizes of stripes and row groups (stride 0: no indexes); stripe_rows flushes a stripe
+    after so many rows, whatever its bytes (to the batch of batch_rows in which they are reached); check_rows says after how many rows the writer
     looks whether a stripe is full, where its 5000 are too many. bloom_columns are the columns with Bloom
     filters. With ``schema`` df must have just these columns and types. sort_by sorts within each file, which makes
     row-group indexes selective. single_file is for small tables only. TIMESTAMP_NTZ columns are stored as ORC bigint
@@ -47,6 +49,8 @@ def write(
     out = df.write.mode(mode).option("compression", compression)
     if stripe_bytes:
         out = out.option("orc.stripe.size", stripe_bytes)
+    if stripe_rows:
+        out = out.option("orc.stripe.row.count", stripe_rows)
     if check_rows:
         out = out.option("orc.rows.between.memory.checks", check_rows)
     if stride is not None:
