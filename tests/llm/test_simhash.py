@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -162,3 +163,18 @@ def test_near_copies_of_odd_rows(odd):
 def test_ids_of_any_type(spark):
     df = spark.createDataFrame([("b", "one two three four five"), ("a", "one two three four five"), ("c", "else")], "doc_id string, text string")
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == {"a": "a", "b": "a", "c": "c"}
+
+
+def test_texts_that_are_not_alike_stay_apart(spark):
+    """Texts of common words, with shingles of others among them, make no groups of candidates."""
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(200)]
+    texts = [" ".join(rng.choice(words, 60)) for _ in range(3000)]
+    texts = [t + " " + " ".join(texts[int(rng.integers(3000))].split()[:12]) for t in texts]  # a tenth of the shingles from another
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    t = F.col("text")
+    levels = neardup.rarity(df.select("text"), 5)
+    keyed = df.select(F.xxhash64(t).alias("k1"), F.xxhash64(F.lit(1), t).alias("k2"), "text")
+    marks = keyed.mapInArrow(neardup._marking(5, levels, 0.8), "k1 bigint, k2 bigint, w0 bigint, w1 bigint, rare array<bigint>")
+    assert neardup.candidates(marks).count() < 60
+    assert neardup.one_of_each(df).count() == 3000
