@@ -127,6 +127,15 @@ def judged(rows: DataFrame, version: int = CURRENT, policies: dict = POLICIES) -
     return rows.select("*", F.lit(version).alias("policy"), (F.col("fail_bits").bitwiseAND(F.lit(mask(policies[version]))) == 0).alias("kept"))
 
 
+def decisive(version: int = CURRENT, policies: dict = POLICIES, rules: tuple[Rule, ...] = RULES) -> Column:
+    """The rule without which a version of the policy would keep a row that it rejects; null where there is none or no single one."""
+    failed = F.col("fail_bits").bitwiseAND(F.lit(mask(policies[version], rules)))
+    out = F.lit(None).cast("string")
+    for k, r in enumerate(rules):
+        out = F.when(failed == (1 << k), F.lit(r.name)).otherwise(out)
+    return out
+
+
 def ablations(rows: DataFrame, policies: dict = POLICIES, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """For each version and each of its rules: documents, those the version rejects, those that fail the rule, and those that it would
     keep without the rule. One aggregation over the ledger by its bits; the groups are at most 2 ** len(rules)."""
@@ -144,7 +153,7 @@ def ablations(rows: DataFrame, policies: dict = POLICIES, rules: tuple[Rule, ...
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = judged(stored(ledger(table(spark, sf_dir, "documents")), "ledger"))
     base = F.col("fail_bits").bitwiseAND(F.lit(mask(BASE))) != 0
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits", "policy")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits", "policy", decisive().alias("decisive_rule"))
 
 
 # DuckDB. The rules are the same integer comparisons; the windows are compared as lists of words.
@@ -177,5 +186,6 @@ WITH d AS (
     + CASE WHEN 2 * n_capitals > word_chars THEN 16 ELSE 0 END)::BIGINT AS fail_bits FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed,
-       fail_bits & 31 = 0 AS kept, fail_bits, 3::INTEGER AS policy FROM b
+       fail_bits & 31 = 0 AS kept, fail_bits, 3::INTEGER AS policy,
+       CASE fail_bits & 31 WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_words' WHEN 4 THEN 'symbols' WHEN 8 THEN 'duplicate_lines' WHEN 16 THEN 'capitals' END AS decisive_rule FROM b
 """

@@ -23,8 +23,9 @@ END = "\r\n\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads of fewer bytes are always kept as responses.
 LEAST = 100
-#: Records of one archive file: bounds what a task reads at once.
+#: Records and payload bytes (on average) of one archive file: bound what a task reads at once.
 PER_FILE = 10_000
+FILE_BYTES = 256 << 20
 #: Payload bytes of a batch that a reader hands on.
 BATCH = 8 << 20
 
@@ -63,6 +64,12 @@ def _written(records: DataFrame, path: str, per_file: int) -> None:
     records.write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", per_file).text(path)
 
 
+def records_per_file(pages: DataFrame, html_col: str = "html") -> int:
+    """PER_FILE, or as many as have FILE_BYTES where payloads are large."""
+    mean = pages.agg(F.avg(F.octet_length(F.col(html_col).cast("string")))).first()[0] or 1
+    return max(1, min(PER_FILE, int(FILE_BYTES / mean)))
+
+
 def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "1970-01-01T00:00:00Z", per_file: int = PER_FILE) -> None:
     """One response record for each row of pages, payload the html in UTF-8 (null: empty), in gzipped files below path.
 
@@ -165,8 +172,9 @@ def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     plain, lean = shared_path(spark, "warc"), shared_path(spark, "warc-lean")
     kind = pages.schema["page_id"].dataType.simpleString()
-    write_archive(pages, plain)
-    resolve_revisits(spark, plain, lean, id_type=kind)
+    per_file = records_per_file(pages)
+    write_archive(pages, plain, per_file=per_file)
+    resolve_revisits(spark, plain, lean, per_file=per_file, id_type=kind)
     return resolved(spark, lean).select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 

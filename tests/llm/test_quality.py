@@ -57,6 +57,7 @@ def test_ablations(docs):
             fails = lambda m: (F.col("fail_bits").bitwiseAND(F.lit(quality.mask(m)))) != 0
             assert r.n_docs == rows.count() and r.n_rejected == rows.where(fails(names)).count() and r.n_failing == rows.where(fails((name,))).count()
             assert r.n_only == r.n_rejected - (rows.where(fails(rest)).count() if rest else 0)
+            assert r.n_only == rows.where(quality.decisive(version) == name).count()
 
 
 def test_no_python_in_the_plan(spark, sf):

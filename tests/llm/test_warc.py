@@ -81,3 +81,9 @@ def test_sql_agrees_on_repeated_and_null_ids(spark, pages):
     db = duckdb.connect()
     db.register("pages", pages.toPandas().astype({"page_id": "Int64"}))
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, db.sql(warc.OP4_SQL).fetchall()))
+
+
+def test_files_are_bounded_by_bytes(spark, pages, monkeypatch):
+    assert warc.records_per_file(pages) == warc.PER_FILE and warc.records_per_file(pages.limit(0)) == warc.PER_FILE
+    monkeypatch.setattr(warc, "FILE_BYTES", 1000)
+    assert 1 <= warc.records_per_file(pages) <= 20
