@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import warnings
 
@@ -25,10 +26,13 @@ def session(name: str = "stripewise", master: str | None = None, **conf: str) ->
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, or a temporary one of this process where unset."""
+    """A folder that driver and executors share: spark.checkpoint.dir. Where that is unset in a local session a temporary one of
+    this process; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="stripewise-orc-"))
     return _OWN[0]
