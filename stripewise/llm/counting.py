@@ -16,7 +16,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import shared_path, shuffle_partitions, sliced, stored, table
+from .shared import released, shared_path, shuffle_partitions, sliced, stored, table
 from .tokens import default_path, encoder
 
 #: End-of-document id: 16 bits hold it, the vocabulary doesn't.
@@ -56,7 +56,7 @@ def write_flat(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: s
     The returned table is stored by Spark's commit protocol and names the files of attempts that counted; files of
     lost attempts are in no row of it."""
     taken = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("__text"))
-    return stored(taken.mapInArrow(_writing(path or default_path(), folder), f"doc_id {taken.schema[0].dataType.simpleString()}, file string, ordinal bigint"), "manifest")
+    return stored(taken.mapInArrow(released(_writing(path or default_path(), folder)), f"doc_id {taken.schema[0].dataType.simpleString()}, file string, ordinal bigint"), "manifest")
 
 
 def _blocks(folder: str, size: int):
@@ -89,9 +89,9 @@ def counted(files: DataFrame, folder: str, end: int = END, block: int = BLOCK) -
 
     Two separators in a row enclose an empty document. Tokens after the last separator are one more document,
     with closed false. An empty file has none."""
-    parts = files.select("file").distinct().mapInArrow(_blocks(folder, block), "file string, block bigint, start bigint, n bigint")
+    parts = files.select("file").distinct().mapInArrow(released(_blocks(folder, block)), "file string, block bigint, start bigint, n bigint")
     dealt = parts.repartition(shuffle_partitions(files.sparkSession), "file", "block")
-    found = dealt.mapInArrow(_separators(folder, end), "file string, block bigint, stop bigint, at array<bigint>")
+    found = dealt.mapInArrow(released(_separators(folder, end)), "file string, block bigint, stop bigint, at array<bigint>")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     scanned = found.select(
         "file",

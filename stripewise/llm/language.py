@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import column, table
+from .shared import column, released, table
 
 DIMENSIONS = 1024
 SEED = 7
@@ -173,7 +173,7 @@ def learnt(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", samp
         return {"langs": [], "vectors": [], "dense": []}
     limits = F.element_at(F.from_json(F.lit(json.dumps(share)), "map<string, double>"), F.col("lang"))
     chosen = rows.where(F.pmod("h", F.lit(1 << 30)) < limits * (1 << 30)).groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
-    got = chosen.mapInArrow(_learning, "lang string, kind string, key bigint, value double").groupBy("lang", "kind", "key").agg(F.sum("value").alias("value"))
+    got = chosen.mapInArrow(released(_learning), "lang string, kind string, key bigint, value double").groupBy("lang", "kind", "key").agg(F.sum("value").alias("value"))
     vectors = got.where("kind = 'v'").groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("key", "value"))).alias("v")).select("lang", F.col("v.value").alias("v")).orderBy("lang").collect()
     # each language weighs alike in the choice of frequent n-grams
     totals = got.where("kind = 'g'").groupBy("lang").agg(F.sum("value").alias("all"))
@@ -212,7 +212,7 @@ def predicted(docs: DataFrame, model: dict, text_col: str = "text", id_col: str
     ``und`` with score 0 where the text is null, empty or has no letter, or where no language was learnt. Ties
     go to the first language by name. Texts of any length are bundled whole, in blocks. Null and repeated ids stay as they are; other columns are not looked at."""
     taken = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return taken.mapInArrow(_predicting(model), f"doc_id {taken.schema[0].dataType.simpleString()}, lang_pred string, score double")
+    return taken.mapInArrow(released(_predicting(model)), f"doc_id {taken.schema[0].dataType.simpleString()}, lang_pred string, score double")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import sliced, stored, table
+from .shared import released, sliced, stored, table
 from .tokens import default_path, encoder
 
 WINDOW = 1024
@@ -61,7 +61,7 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     """doc_id, row (a number of its own for each row), n and ids (16 bits each) of each row of docs, stored; where row is
     null, df has document frequencies of a part of the rows, each with its id in the lowest 16 bits."""
     taken = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
-    return stored(taken.mapInArrow(_tokenised(path or default_path()), f"doc_id {taken.schema[0].dataType.simpleString()}, row bigint, n bigint, ids binary, df array<bigint>"), "tokens")
+    return stored(taken.mapInArrow(released(_tokenised(path or default_path())), f"doc_id {taken.schema[0].dataType.simpleString()}, row bigint, n bigint, ids binary, df array<bigint>"), "tokens")
 
 
 def statistics(tokens: DataFrame) -> tuple[np.ndarray, int, int]:
@@ -298,10 +298,10 @@ def dealt(tokens: DataFrame, idf: np.ndarray, n_docs: int, mean: float, shards:
         able = able.where(hashed <= few).select(hashed.alias("h"), "row", "ids").orderBy("h", "row").limit(PIVOTS)
         pivots = Pivots([np.frombuffer(r["ids"], np.uint16) for r in able.collect()], idf, mean)
         share = int(min(1.0, SAMPLE / n_docs) * (1 << 30))
-        drawn = rows.where(hashed <= share).select("n", "ids").mapInArrow(_signed(pivots), "n bigint, signature bigint").collect()
+        drawn = rows.where(hashed <= share).select("n", "ids").mapInArrow(released(_signed(pivots)), "n bigint, signature bigint").collect()
         bounds = ranges(np.array([r["signature"] for r in drawn], np.int64), np.array([r["n"] + 1 for r in drawn], np.int64), groups)
     kind = tokens.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "row", "ids").mapInArrow(_dealing(pivots, bounds, max(1, round(shards / groups))), f"shard bigint, signature bigint, doc_id {kind}, row bigint, ids binary")
+    return rows.select("doc_id", "row", "ids").mapInArrow(released(_dealing(pivots, bounds, max(1, round(shards / groups)))), f"shard bigint, signature bigint, doc_id {kind}, row bigint, ids binary")
 
 
 def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_tokens: int = SHARD_TOKENS, path: str | None = None) -> DataFrame:
@@ -317,7 +317,7 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     kind = tokens.schema["doc_id"].dataType.simpleString()
     # as many partitions as shards, so that a task's share doesn't grow with the corpus
     parts = dealt(tokens, idf, n_docs, mean, shards).repartition(shards, "shard").sortWithinPartitions("shard", "signature", "row").select("shard", "doc_id", "ids")
-    return parts.mapInArrow(_packing(idf, mean, window, shard_tokens), f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return parts.mapInArrow(released(_packing(idf, mean, window, shard_tokens)), f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
 
 
 def op10_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +57,21 @@ def sliced(batches, rows: int = 1000):
             yield batch.slice(low, rows)
 
 
+def released(run):
+    """A function over batches, after which a worker, which may wait for its next task for long, gives free memory back."""
+
+    @functools.wraps(run)
+    def around(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library has no such function
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return around
+
+
 def text_key(text):
     """16 bytes that stand for a text; null counts as the empty text."""
     return F.unhex(F.md5(F.encode(F.coalesce(text, F.lit("")), "UTF-8")))

@@ -12,7 +12,7 @@ class _Hashes(dict):
     """Hash of a word, kept while there are not too many."""
 
     def __missing__(self, word: bytes | str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         out = self[word] = xxhash.xxh64_intdigest(word if isinstance(word, bytes) else word.encode("utf-8", "surrogatepass"))
         return out

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import column, shuffle_partitions, sliced, stored, table
+from .shared import column, released, shuffle_partitions, sliced, stored, table
 
 SEED = 42
 #: Buckets up to this size are compared lag by lag, larger ones by search trees.
@@ -60,7 +60,7 @@ def fingerprints(df: DataFrame, text, shingle: int = 5, **keep) -> DataFrame:
     """The columns of ``keep`` (name=expression) and ``fp``, the fingerprint as a bigint, of each row."""
     taken = df.select(*[c.alias(k) for k, c in keep.items()], text.cast("string").alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:-1])
-    return taken.mapInArrow(_fingerprints(shingle), (schema + ", " if schema else "") + "fp bigint")
+    return taken.mapInArrow(released(_fingerprints(shingle)), (schema + ", " if schema else "") + "fp bigint")
 
 
 def segments(radius: int) -> list[tuple[int, int]]:
@@ -213,7 +213,7 @@ def links(marks: DataFrame, radius: int = 4) -> DataFrame:
     # marks may be few files; each row becomes 64
     keyed = marks.repartition(n).select("fp", F.explode(_variants(F.col("fp"), radius)).alias("key"))
     sorted_ = keyed.select("key", "fp").repartition(n, "key").sortWithinPartitions("key", "fp")
-    got = stored(sorted_.mapInArrow(_bucket_links(radius), "a bigint, b bigint, key bigint"), "buckets")
+    got = stored(sorted_.mapInArrow(released(_bucket_links(radius)), "a bigint, b bigint, key bigint"), "buckets")
     plain = got.where("key is null").select("a", "b")
     hot = got.where("key is not null").select("key", F.col("a").alias("fp"))
     counts = hot.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -222,7 +222,7 @@ def links(marks: DataFrame, radius: int = 4) -> DataFrame:
     placed = hot.join(counts, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     paired = placed.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))).alias("p"), "fp")
     blocks = paired.select("key", "p.i", "p.j", "fp").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
-    return plain.unionByName(blocks.mapInArrow(_block_links(radius), "a bigint, b bigint"))
+    return plain.unionByName(blocks.mapInArrow(released(_block_links(radius)), "a bigint, b bigint"))
 
 
 def classes(rows: DataFrame, radius: int = 4) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_path, shuffle_partitions, sliced, stored, table, unpacked, whole
+from .shared import released, shared_path, shuffle_partitions, sliced, stored, table, unpacked, whole
 
 LENGTH = 200
 #: Places whose anchor can be one position: the window of q-gram starts.
@@ -273,7 +273,7 @@ def _place_hashes(length: int):
 
 def _by_place(rows: DataFrame, length: int) -> DataFrame:
     """Repeated places of contexts in buckets too large for a task: counted by 128 bits of hash, combined before the shuffle."""
-    places = stored(rows.mapInArrow(_place_hashes(length), "h1 bigint, h2 bigint, k1 bigint, k2 bigint, place bigint, n bigint"), "places")
+    places = stored(rows.mapInArrow(released(_place_hashes(length)), "h1 bigint, h2 bigint, k1 bigint, k2 bigint, place bigint, n bigint"), "places")
     twice = places.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
     return places.where("n = 1").join(twice, ["h1", "h2"]).select("k1", "k2", F.col("place").alias("first"), F.col("place").alias("last"))
 
@@ -325,17 +325,17 @@ def repeats(docs: DataFrame, text, length: int = LENGTH, with_text: bool = False
     n = shuffle_partitions(spark)
     rows = docs.select(text.cast("string").alias("text")).where(F.octet_length("text") >= length)
     texts = _bucketed(rows.select(*keys(F.col("text")), "text").groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies")))
-    found = texts.select("k1", "k2", "text").mapInArrow(_find_anchors(length), _ANCHORS)
+    found = texts.select("k1", "k2", "text").mapInArrow(released(_find_anchors(length)), _ANCHORS)
     # stored, so that the join below reads plain shuffles, whose skewed partitions Spark can split
     shared = stored(found.select("kh").groupBy("kh").agg(F.count("*").alias("c")).where("c > 1").select("kh"), "shared")
     anchors_ = stored(found.join(shared, "kh", "left_semi"), "anchors")
     regions = stored(anchors_.groupBy("kh", "rh", "rh2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "a", "back", "span")).alias("x")), "regions")
     mixed = regions.groupBy("kh").agg(F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1 and least = 1").select("kh", (F.col("c") > MOST).alias("many"))
     wanted = regions.join(mixed, "kh").select("x.k1", "x.k2", F.struct("kh", "many", "n", "x.a", "x.back", "x.span").alias("w")).groupBy("k1", "k2").agg(F.collect_list("w").alias("wanted"))
-    contexts = texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(_contexts(length), "kh bigint, many boolean, n bigint, k1 bigint, k2 bigint, first int, span short, context binary")
+    contexts = texts.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(released(_contexts(length)), "kh bigint, many boolean, n bigint, k1 bigint, k2 bigint, first int, span short, context binary")
     # members of too large buckets are counted elsewhere, so they are dealt out over all tasks
     dealt = contexts.repartition(n, "kh", F.when(F.col("many"), F.xxhash64("k1", "k2", "first")))
-    refined_ = stored(dealt.sortWithinPartitions("kh").mapInArrow(_refine(length), "k1 bigint, k2 bigint, first bigint, last bigint, n bigint, context binary"), "refined")
+    refined_ = stored(dealt.sortWithinPartitions("kh").mapInArrow(released(_refine(length)), "k1 bigint, k2 bigint, first bigint, last bigint, n bigint, context binary"), "refined")
     ends = refined_.where("context is null").select("k1", "k2", "first", "last")
     hot = refined_.where("context is not null")
     whole = anchors_.join(regions.where("n > 1").select("kh", "rh", "rh2"), ["kh", "rh", "rh2"]).select("k1", "k2", (F.col("a") - F.col("back")).cast("bigint").alias("first"), (F.col("a") - F.col("back") + F.col("span")).cast("bigint").alias("last"))
@@ -343,7 +343,7 @@ def repeats(docs: DataFrame, text, length: int = LENGTH, with_text: bool = False
     if not hot.isEmpty():
         runs = runs.unionByName(_by_place(hot, length))
     gathered = runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    return texts.join(gathered, ["k1", "k2"], "left").select("k1", "k2", "text", "copies", "runs").mapInArrow(_cut(length, with_text), "k1 bigint, k2 bigint, n_removed bigint, n_spans bigint, kept_sha256 string, left string")
+    return texts.join(gathered, ["k1", "k2"], "left").select("k1", "k2", "text", "copies", "runs").mapInArrow(released(_cut(length, with_text)), "k1 bigint, k2 bigint, n_removed bigint, n_spans bigint, kept_sha256 string, left string")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import column, sliced, table, unpacked, whole
+from .shared import column, released, sliced, table, unpacked, whole
 
 #: Labelled documents to learn from, on average: those whose hashed id is below a bound.
 SAMPLE = 20_000
@@ -204,7 +204,7 @@ def learnt(docs: DataFrame, labels: DataFrame, chain=CHAIN, id_col: str = "doc_i
     texts = docs.select(column(id_col).cast("string").alias("id"), column(text_col).cast("string").alias("text"))
     rows = texts.join(F.broadcast(chosen), "id").select("y", "text", "id", F.pmod(F.xxhash64(F.lit(1), "id", "text"), F.lit(1 << 30)).alias("h"))  # chosen is bounded by sample
     few = rows.where(F.col("h") <= low(rows.select("id", "h").distinct().count())).groupBy("id", "h").agg(F.first("y").alias("y"), F.first("text").alias("text"))
-    got = few.select("h", "y", "text").mapInArrow(_extract, "h bigint, y array<int>, ids array<int>, shares array<float>, measures array<double>").repartition(1).mapInArrow(_train, "words array<bigint>, weights array<double>, dense array<double>, bias double").collect()
+    got = few.select("h", "y", "text").mapInArrow(released(_extract), "h bigint, y array<int>, ids array<int>, shares array<float>, measures array<double>").repartition(1).mapInArrow(released(_train), "words array<bigint>, weights array<double>, dense array<double>, bias double").collect()
     return [Linear(np.asarray(r["words"], np.int64), np.asarray(r["weights"], np.float64), np.asarray(r["dense"], np.float64), r["bias"]) for r in got]
 
 
