@@ -201,6 +201,16 @@ def orc_codecs(spark, sf_dir):
     return out
 
 
+@query("SELECT c AS compression, count(*) AS n, max(n_nationkey)::VARCHAR AS high, max(n_name) AS last FROM nation, (VALUES ('none'), ('snappy'), ('zlib'), ('lzo'), ('zstd'), ('lz4')) t(c) GROUP BY c")
+def metadata_codecs(spark, sf_dir):
+    """Footers and statistics, whatever they are packed with."""
+    paths = [orc_of(spark, sf_dir, "nation", f"codec_{c}") for c in ("none", "snappy", "zlib", "lzo", "zstd", "lz4")]
+    files = reduce(lambda a, b: a.unionByName(b), [metadata(spark, p, "files").select("path", "compression", F.col("rows").alias("n")) for p in paths])
+    stats = reduce(lambda a, b: a.unionByName(b), [metadata(spark, p, "column_statistics").where("stripe is null") for p in paths])
+    high = stats.groupBy("path").agg(F.max(F.when(F.col("name") == "n_nationkey", F.col("max"))).alias("high"), F.max(F.when(F.col("name") == "n_name", F.col("max"))).alias("last"))
+    return files.join(high, "path").drop("path")
+
+
 # exact predicates
 
 

@@ -118,7 +118,21 @@ def test_all_types_and_codecs(spark, tmp_path):
         assert scan(spark, path).exceptAll(df).count() == 0 and scan(spark, path).count() == 3
         if codec != "lzo":
             assert scan(spark, path, row_index=True).drop("row_index").exceptAll(df).count() == 0
-            assert OrcFile(paths_of(spark, path)[0]).codec == codec
+        assert OrcFile(paths_of(spark, path)[0]).codec == codec
+
+
+def test_metadata_of_all_codecs(spark, tmp_path):
+    """Footers, indexes and statistics are the same whatever they are packed with."""
+    df = spark.range(9000).selectExpr("id", *[f"id * {k} AS number_{k}" for k in range(25)], *[f"concat('some text ', id % {k + 2}) AS text_{k}" for k in range(15)])
+    want = None
+    for codec in ("none", "snappy", "zlib", "lzo", "zstd", "lz4"):
+        path = str(tmp_path / codec)
+        write(df, path, compression=codec, single_file=True, sort_by=["id"], stride=1000, bloom_columns=["id"])
+        file = OrcFile(paths_of(spark, path)[0])
+        got = [file.rows, file.schema.lines(), file.statistics, [[s.rows, s.row_index(1)[3]["statistics"], s.row_index(40)[1]["statistics"], s.encodings(), [b.words for b in s.blooms(1)]] for s in file.stripes]]
+        drop = lambda x: {k: drop(v) for k, v in x.items() if k != "bytes_on_disk"} if isinstance(x, dict) else [drop(v) for v in x] if isinstance(x, list) else x
+        want = want or drop(got)
+        assert drop(got) == want, codec
 
 
 def test_many_files(spark, tmp_path):
