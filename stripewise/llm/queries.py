@@ -9,7 +9,7 @@ from .packing import op10_bm25_packing
 from .quality import OP8_SQL, op8_quality_rules
 from .sharding import op9_virtual_slots
 from .simhash import op1_simhash
-from .suffix import op6_suffix_dedup
+from .suffix import OP6_SQL, op6_suffix_dedup
 from .toxicity import op3_toxicity_chain
 from .warc import OP4_SQL, op4_warc_revisits
 
@@ -19,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op4_warc_revisits": OP4_SQL, "op8_quality_rules": OP8_SQL}
+    return {"op4_warc_revisits": OP4_SQL, "op6_suffix_dedup": OP6_SQL, "op8_quality_rules": OP8_SQL}

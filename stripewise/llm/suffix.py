@@ -372,3 +372,28 @@ def without_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGT
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(table(spark, sf_dir, "documents"))
+
+
+# DuckDB: the 200-byte strings of every text by their checksums, then islands of places whose string starts anywhere else too.
+OP6_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), w AS (
+  SELECT rid, i, md5(b[i + 1 : i + 200]) AS h FROM (SELECT rid, b, unnest(range(0, octet_length(b) - 199)) AS i FROM d WHERE octet_length(b) >= 200)
+), twice AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY h) AS c FROM w) WHERE c > 1
+), edges AS (
+  SELECT rid, i, i - lag(i) OVER (PARTITION BY rid ORDER BY i) AS gap FROM twice
+), runs AS (
+  SELECT rid, i, sum(CASE WHEN gap IS NULL OR gap > 200 THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i) AS run FROM edges
+), spans AS (
+  SELECT rid, run, min(i) AS a, max(i) + 200 AS z FROM runs GROUP BY rid, run
+), gone AS (
+  SELECT rid, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS starts, list(z ORDER BY a) AS ends FROM spans GROUP BY rid
+), cut AS (
+  SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, b,
+         list_concat([0], coalesce(ends, [])) AS low, list_concat(coalesce(starts, []), [octet_length(b)]) AS high FROM d LEFT JOIN gone USING (rid)
+)
+SELECT doc_id, n_bytes, n_removed, n_spans,
+       sha256(unhex(array_to_string(list_transform(range(1, len(low) + 1), lambda k: CASE WHEN high[k] > low[k] THEN hex(b[low[k] + 1 : high[k]]) ELSE '' END), ''))) AS kept_sha256 FROM cut
+"""

@@ -63,3 +63,11 @@ def test_refinement_tells_strings_apart(data, length):
     bucket = suffix.refined(np.frombuffer(data, np.uint8), length)
     places = range(len(data) - length + 1)
     assert all((bucket[a] == bucket[b]) == (data[a : a + length] == data[b : b + length]) for a in places for b in places)
+
+
+def test_sql_agrees(spark, sf):
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    assert sorted(map(tuple, suffix.op6_suffix_dedup(spark, sf).collect())) == sorted(db.sql(suffix.OP6_SQL).fetchall())
