@@ -16,7 +16,7 @@ from ..operators.projection import Projection
 from ..operators.selection import RowSelection
 from .bytesource import MemorySource
 from .metadata import OrcFile, listed
-from .orcx import OrcxSource, StripePart, output_schema
+from .orcx import OrcxReader, OrcxSource, StripePart, output_schema
 
 BATCH = 8192
 
@@ -71,20 +71,29 @@ def planned(file: OrcFile, byte_range: tuple[int, int] | None = None, selection:
     return out
 
 
-def plan_all(spark: SparkSession, files: list[str], byte_range, selection, predicate) -> list[StripePart]:
-    """The parts of all files; the tails of many files are read by executors. A part for each stripe comes to the driver, as with any scan."""
-    if len(files) <= 8:
-        return [p for f in files for p in planned(OrcFile(f), byte_range, selection, predicate)]
+#: Files up to which the driver reads the tails itself.
+FEW = 8
 
-    def run(batches):
+
+def _far(spark: SparkSession, files: list[str], schema: StructType, options: dict, byte_range, predicate) -> DataFrame:
+    """A scan of many files: executors read the tails, plan the stripes and read them; nothing of it comes to the driver."""
+    reader = OrcxReader(schema, options | {"parts": "[]"})
+
+    def plan(batches):
         for batch in batches:
-            found = [p for f in batch.column(0).to_pylist() for p in planned(OrcFile(f), byte_range, selection, predicate)]
+            found = [p for f in batch.column(0).to_pylist() for p in planned(OrcFile(f), byte_range, None, predicate)]
             yield pa.RecordBatch.from_arrays([pa.array([p.path for p in found], pa.string()), pa.array([json.dumps([p.stripe, p.first_row, p.rows, p.ranges]) for p in found], pa.string())], names=["path", "part"])
 
-    named = spark.createDataFrame([(f,) for f in files], "path string").repartition(min(len(files), 4 * spark.sparkContext.defaultParallelism))
-    rows = named.mapInArrow(run, "path string, part string").collect()
-    out = [StripePart(r["path"], s, f, n, tuple(map(tuple, x))) for r in rows for s, f, n, x in [json.loads(r["part"])]]
-    return sorted(out, key=lambda p: (p.path, p.stripe))
+    def read(batches):
+        for batch in batches:
+            for path, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                stripe, first, rows, ranges = json.loads(part)
+                yield from reader.read(StripePart(path, stripe, first, rows, tuple(map(tuple, ranges))))
+
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    named = spark.createDataFrame([(f,) for f in files], "path string").repartition(min(len(files), tasks))
+    parts = named.mapInArrow(plan, "path string, part string").repartition(max(tasks, len(files)))
+    return parts.mapInArrow(read, schema)
 
 
 def scan(
@@ -141,10 +150,13 @@ def scan(
     if predicate is not None and not prune_only:
         need = [n for n in root.names if n in wanted or n in predicate.columns()]
     read = output_schema(root, need, timestamps, None, row_index or not need, file_path)
-    parts = plan_all(spark, files, byte_range, selection, predicate)
-    spark.dataSource.register(OrcxSource)
-    options = {"schema": read.json(), "columns": json.dumps(need), "parts": json.dumps([[p.path, p.stripe, p.first_row, p.rows, p.ranges] for p in parts]), "timestamps": timestamps, "strict": str(strict).lower(), "position": str(row_index or not need).lower(), "file": str(file_path).lower(), "batch": str(batch_size)}
-    df = spark.read.format("orcx").options(**options).load()
+    options = {"schema": read.json(), "columns": json.dumps(need), "timestamps": timestamps, "strict": str(strict).lower(), "position": str(row_index or not need).lower(), "file": str(file_path).lower(), "batch": str(batch_size)}
+    if len(files) > FEW:
+        df = _far(spark, files, read, options, byte_range, predicate)
+    else:
+        parts = [p for f in files for p in planned(OrcFile(f), byte_range, selection, predicate)]
+        spark.dataSource.register(OrcxSource)
+        df = spark.read.format("orcx").options(**options, parts=json.dumps([[p.path, p.stripe, p.first_row, p.rows, p.ranges] for p in parts])).load()
     if predicate is not None and not prune_only:
         df = df.where(predicate.condition())
     new = dict(zip(root.names, names, strict=True)) if names else {}

@@ -11,6 +11,7 @@ from stripewise.functions.types import to_spark
 from stripewise.operators.projection import Projection
 from stripewise.operators.selection import RowSelection
 from stripewise.sources.metadata import OrcFile
+from stripewise.operators.predicate import Predicate as P
 from stripewise.sources.scan import from_bytes, paths_of, planned, scan, stripe_ranges
 from stripewise.sources.writer import write
 
@@ -140,6 +141,19 @@ def test_many_files(spark, tmp_path):
     write(spark.range(100).repartition(12), path)
     got = scan(spark, path, row_index=True, file_path=True)
     assert got.count() == 100 and got.select("file_path").distinct().count() == 12
+    assert sorted(r.row_index for r in got.where("file_path = '" + got.first().file_path + "'").collect())[0] == 0
+    kept = scan(spark, path, predicate=P.lt("id", 10), prune_only=True)
+    assert 10 <= kept.count() <= 100 and kept.where("id < 10").count() == 10
+
+
+def test_many_files_of_foreign_types(spark, foreign, tmp_path):
+    import shutil
+
+    for k in range(10):
+        shutil.copy(foreign, tmp_path / f"{k}.orc")
+    rows = scan(spark, str(tmp_path), timestamps="nanos").collect()
+    assert len(rows) == 30 and {(r.id, r.u.tag, r.inst) for r in rows} == {(r.id, r.u.tag, r.inst) for r in scan(spark, foreign, timestamps="nanos").collect()}
+    assert sorted(map(str, scan(spark, str(tmp_path), ["l", "m", "st", "at", "inst"]).collect())) == sorted(10 * list(map(str, scan(spark, foreign, ["l", "m", "st", "at", "inst"]).collect())))
 
 
 def test_writer_checks(spark, tmp_path):
