@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 from functools import reduce
 
+import pyspark
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -482,6 +485,71 @@ def export_limit(spark, sf_dir):
     return spark.createDataFrame([(int(a), b) for a, b in rows], f"{head[0]} bigint, {head[1]} string")
 
 
+# the command line, its output read back
+
+
+def _said(spark, path: str, *args: str) -> list[str]:
+    from .. import cli
+
+    out: list[str] = []
+    file = paths_of(spark, path)[0]
+    if cli.main([a if a != "FILE" else file for a in args], out.append):
+        raise RuntimeError(f"the command line failed: {args}")
+    return out
+
+
+@query("SELECT count(*) AS n, count(*) AS in_stripes, true AS several FROM orders")
+def cli_info(spark, sf_dir):
+    lines = [x.strip() for x in _said(spark, _orders(spark, sf_dir, "striped"), "info", "-v", "FILE")]
+    rows = [int(x.removeprefix("rows: ")) for x in lines if x.startswith("rows: ")]
+    n = next(int(x.removeprefix("Rows: ")) for x in lines if x.startswith("Rows: "))
+    return spark.createDataFrame([(n, sum(rows), len(rows) > 1)], "n bigint, in_stripes bigint, several boolean")
+
+
+@query("""SELECT 'Data type' AS name, 'Integer' AS value UNION ALL SELECT 'Minimum', min(o_orderkey)::VARCHAR FROM orders UNION ALL SELECT 'Maximum', max(o_orderkey)::VARCHAR FROM orders
+UNION ALL SELECT 'Sum', sum(o_orderkey)::VARCHAR FROM orders UNION ALL SELECT 'Num values', count(o_orderkey)::VARCHAR FROM orders UNION ALL SELECT 'Has nulls', 'false'""")
+def cli_stats(spark, sf_dir):
+    lines = _said(spark, _orders(spark, sf_dir), "stats", "FILE")
+    own = lines[lines.index("## Column 1") + 1 :]
+    own = [x.removeprefix("* ").replace("Data type ", "Data type: ").split(": ") for x in own[: own.index("")]]
+    return spark.createDataFrame([tuple(x) for x in own], "name string, value string")
+
+
+@query("SELECT count(*) AS n, (SELECT count(DISTINCT o_orderpriority) FROM orders)::BIGINT AS dictionary_size, (SELECT count(*) FROM (DESCRIBE orders)) + 1 AS n_columns FROM orders")
+def cli_layout(spark, sf_dir):
+    whole = json.loads("\n".join(_said(spark, _orders(spark, sf_dir), "layout", "FILE")))
+    first = whole["stripes"][0]
+    column = first_schema(spark, _orders(spark, sf_dir)).child("o_orderpriority").id
+    return spark.createDataFrame([(sum(x["rows"] for x in whole["stripes"]), first["encodings"][column]["dictionary_size"], len(first["encodings"]))], "n bigint, dictionary_size bigint, n_columns bigint")
+
+
+@query(_GROUPS.replace("SELECT o_orderkey, o_totalprice FROM g", "SELECT grp::BIGINT AS row_group, (grp * 1000)::BIGINT AS low, (grp * 1000 + count(*))::BIGINT AS high, count(*) AS n_values, min(o_orderkey) AS min, max(o_orderkey) AS max FROM g") + "true GROUP BY grp")
+def cli_index(spark, sf_dir):
+    pattern = re.compile(r"  Row group (\d+) rows \[(\d+),(\d+)\) -> values=(\d+), min=(\d+), max=(\d+)")
+    found = [m for x in _said(spark, _orders(spark, sf_dir), "index", "FILE", "o_orderkey") if (m := pattern.fullmatch(x))]
+    return spark.createDataFrame([tuple(map(int, m.groups())) for m in found], "row_group bigint, low bigint, high bigint, n_values bigint, min bigint, max bigint")
+
+
+@query(_SCATTERED + "SELECT grp::BIGINT AS row_group, bool_or(o_orderkey = 4321) AS might_contain FROM g GROUP BY grp")
+def cli_bloom(spark, sf_dir):
+    pattern = re.compile(r"    Row group (\d+): .* might_contain\(\"4321\"\) = (true|false)")
+    found = [m for x in _said(spark, _scattered(spark, sf_dir), "bloom", "FILE", "-c", "o_orderkey", "-t", "4321") if (m := pattern.fullmatch(x))]
+    return spark.createDataFrame([(int(m[1]), m[2] == "true") for m in found], "row_group bigint, might_contain boolean")
+
+
+@query("SELECT p_partkey, p_mark FROM (SELECT p_partkey, nullif(p_size % 7, 0) AS p_mark FROM part ORDER BY p_partkey LIMIT 40)")
+def cli_export_json(spark, sf_dir):
+    rows = map(json.loads, _said(spark, _part(spark, sf_dir), "export", "-f", "json", "-c", "p_partkey,p_mark", "-n", "40", "--batch-size", "7", "FILE"))
+    return spark.createDataFrame([(r["p_partkey"], r.get("p_mark")) for r in rows], "p_partkey bigint, p_mark int")
+
+
+@query(f"SELECT '{pyspark.__version__}' AS written_by, '0.12' AS version, 1::BIGINT AS n_stripes, (SELECT count(*) FROM (DESCRIBE nation)) + 1 AS n_lines")
+def file_user_metadata(spark, sf_dir):
+    """What Spark's writer leaves in a file, its version, and a line of schema for the root and each column."""
+    df = metadata(spark, orc_of(spark, sf_dir, "nation", "indexed", "n_nationkey"), "files")
+    return df.select(F.get_json_object("user_metadata", "$['org.apache.spark.version']").alias("written_by"), "version", "n_stripes", F.size(F.split("schema", "\n")).cast("bigint").alias("n_lines"))
+
+
 @query("SELECT event_id, user_id FROM events WHERE event_id < 1000")
 def orc_stream(spark, sf_dir):
     from ..streaming.orc_stream import stream
