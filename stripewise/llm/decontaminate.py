@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import column, sliced, stored, table, unpacked, whole
-from .shingles import hashes
+from .shingles import Known, hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -35,6 +35,7 @@ PASS_BYTES = 16 << 20
 SPAN = 50_000
 
 _WORD = re.compile(r"\w+")
+_KNOWN = Known(400_000)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -44,7 +45,7 @@ def words_of(text: str | None) -> list[str]:
 
 def shingles(words: list[str]) -> np.ndarray:
     """Hashes of the runs of five words."""
-    return hashes(words, SHINGLE) if len(words) >= SHINGLE else np.empty(0, np.uint64)
+    return hashes(words, SHINGLE, _KNOWN) if len(words) >= SHINGLE else np.empty(0, np.uint64)
 
 
 def _signs(s: np.ndarray) -> np.ndarray:

@@ -178,3 +178,13 @@ def test_texts_that_are_not_alike_stay_apart(spark):
     marks = keyed.mapInArrow(neardup._marking(5, levels, 0.8), "k1 bigint, k2 bigint, w0 bigint, w1 bigint, rare array<bigint>")
     assert neardup.candidates(marks).count() < 60
     assert neardup.one_of_each(df).count() == 3000
+
+
+def test_counts_of_shingles(docs, small):
+    """The logarithms come from a count of the shingles of every text."""
+    counts = np.zeros(neardup.SLOTS, np.int64)
+    for _, text in small:
+        for h in neardup._hashes((text or "").encode(), 5):
+            counts[int(h) >> (64 - neardup.SLOTS.bit_length() + 1)] += 1
+    levels = neardup.rarity(docs.select("text").repartition(5), 5)
+    assert (levels == np.ceil(np.log2(counts + 1))).all() and levels.max() > 1
