@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import released, sliced, stored, table
+from .shared import released, shuffle_partitions, sliced, stored, table
 from .tokens import default_path, encoder
 
 WINDOW = 1024
@@ -24,6 +24,8 @@ WINDOW = 1024
 END = 0
 #: Tokens and documents of a shard, on average; a task holds one shard, or so much of a larger one at a time.
 SHARD_TOKENS, SHARD_DOCS = 4_000_000, 3072
+#: Partitions that the shuffle to shards may have even where Spark's setting is lower.
+PARTITIONS = 1 << 14
 #: BM25's parameters; neighbours that a search returns.
 K1, B = 1.2, 0.75
 NEIGHBOURS = 8
@@ -315,8 +317,8 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     shards = max(1, -(-(n_tokens + n_docs) // shard_tokens), -(-n_docs // SHARD_DOCS))
     idf, mean = weights(df, n_docs), max(1.0, n_tokens / max(1, n_docs))
     kind = tokens.schema["doc_id"].dataType.simpleString()
-    # as many partitions as shards, so that a task's share doesn't grow with the corpus
-    parts = dealt(tokens, idf, n_docs, mean, shards).repartition(shards, "shard").sortWithinPartitions("shard", "signature", "row").select("shard", "doc_id", "ids")
+    # a partition for each shard, so that a task's share doesn't grow with the corpus, as far as a shuffle can have so many
+    parts = dealt(tokens, idf, n_docs, mean, shards).repartitionById(min(shards, max(PARTITIONS, shuffle_partitions(docs.sparkSession))), F.col("shard").cast("int")).sortWithinPartitions("shard", "signature", "row").select("shard", "doc_id", "ids")
     return parts.mapInArrow(released(_packing(idf, mean, window, shard_tokens)), f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
 
 
