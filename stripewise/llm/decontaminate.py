@@ -200,7 +200,7 @@ def _searching(items, name: str, kind: T.DataType):
             yield pa.concat_arrays(parts) if parts else pa.array([], arrow)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, kind)
+    return F.arrow_udf(run, kind).asNondeterministic()  # else Catalyst may run it once for a filter and again for the rows that pass
 
 
 def passes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", bytes_: int = PASS_BYTES):

@@ -221,7 +221,7 @@ def _probabilities(models: list[Linear], names: list[str]):
             yield pa.StructArray.from_arrays([pa.array(scores[:, k] if models else np.zeros(len(batch))) for k in range(len(names))], names=names)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, T.StructType([T.StructField(n, T.DoubleType()) for n in names]))
+    return F.arrow_udf(run, T.StructType([T.StructField(n, T.DoubleType()) for n in names])).asNondeterministic()  # runs once for each row
 
 
 def _with_scores(docs: DataFrame, models: list[Linear], names: list[str], text_col: str, keep: list[str]) -> DataFrame:
