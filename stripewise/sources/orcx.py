@@ -1,7 +1,7 @@
 """A Python data source for what Spark's own ORC reader does not do: row positions, ranges of rows and bytes, union and
 instant columns, nanoseconds, strict precision, columns renamed by position.
 
-A partition is one stripe, or the selected rows of one. Use ``stripewise.sources.scan``; the format's name is "orcx".
+A partition is one stripe, the selected rows of one, or some small ones of a file. Use ``stripewise.sources.scan``; the format's name is "orcx".
 """
 
 from __future__ import annotations
@@ -34,6 +34,29 @@ class StripePart(InputPartition):
     ranges: tuple[tuple[int, int], ...]
 
 
+@dataclass
+class StripeGroup(InputPartition):
+    """Parts of one file that a task reads one after the other."""
+
+    parts: tuple[StripePart, ...]
+
+
+#: Rows up to which stripes of a file are read by one task.
+ROWS = 1 << 16
+
+
+def grouped(parts: list[StripePart]) -> list[StripeGroup]:
+    out, held, n = [], [], 0
+    for p in parts:
+        rows = sum(b - a for a, b in p.ranges)
+        if held and (p.path != held[-1].path or n + rows > ROWS):
+            out.append(StripeGroup(tuple(held)))
+            held, n = [], 0
+        held.append(p)
+        n += rows
+    return [*out, StripeGroup(tuple(held))]
+
+
 def output_schema(root: OrcType, columns: list[str], timestamps: str, renamed: list[str] | None = None, position: bool = True, path: bool = False) -> StructType:
     """Columns in file order with their new names, and the positions' column where asked for."""
     of = dict(zip(root.names, renamed or root.names, strict=True))
@@ -100,12 +123,14 @@ class OrcxReader(DataSourceReader):
         self.parts = [StripePart(p, s, f, n, tuple(map(tuple, r))) for p, s, f, n, r in json.loads(options["parts"])]
 
     def partitions(self):
-        return self.parts or [StripePart("", 0, 0, 0, ())]
+        return grouped(self.parts)
+
+    def read(self, group: StripeGroup):
+        file = OrcFile(group.parts[0].path) if group.parts else None
+        for part in group.parts:
+            yield from self._stripe(file, part)
 
-    def read(self, part: StripePart):
-        if not part.ranges:
-            return
-        file = OrcFile(part.path)
+    def _stripe(self, file: OrcFile, part: StripePart):
         types = {n: c for n, c in zip(file.schema.names, file.schema.children, strict=True)}
         names = [f.name for f in self.fields]
         at = RowSelection(part.ranges, part.rows)

@@ -16,7 +16,7 @@ from ..operators.projection import Projection
 from ..operators.selection import RowSelection
 from .bytesource import MemorySource
 from .metadata import OrcFile, listed
-from .orcx import OrcxReader, OrcxSource, StripePart, output_schema
+from .orcx import OrcxReader, OrcxSource, StripeGroup, StripePart, output_schema
 
 BATCH = 8192
 
@@ -88,7 +88,7 @@ def _far(spark: SparkSession, files: list[str], schema: StructType, options: dic
         for batch in batches:
             for path, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 stripe, first, rows, ranges = json.loads(part)
-                yield from reader.read(StripePart(path, stripe, first, rows, tuple(map(tuple, ranges))))
+                yield from reader.read(StripeGroup((StripePart(path, stripe, first, rows, tuple(map(tuple, ranges))),)))
 
     tasks = 4 * spark.sparkContext.defaultParallelism
     named = spark.createDataFrame([(f,) for f in files], "path string").repartition(min(len(files), tasks))
