@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import released, shared_path, shuffle_partitions, sliced, stored, table, unpacked, whole
+from .shared import passing_shuffles, released, shared_path, shuffle_partitions, sliced, stored, table, unpacked, whole
 
 LENGTH = 200
 #: Places whose anchor can be one position: the window of q-gram starts.
@@ -312,7 +312,8 @@ def _bucketed(texts: DataFrame) -> DataFrame:
     n = shuffle_partitions(spark)
     own = "texts_" + name.rpartition("-")[2]
     try:
-        texts.write.bucketBy(n, "k1", "k2").option("path", name).option("compression", "zstd").format("parquet").saveAsTable(own)
+        with passing_shuffles(spark):
+            texts.write.bucketBy(n, "k1", "k2").option("path", name).option("compression", "zstd").format("parquet").saveAsTable(own)
         return spark.table(own)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {own}")  # the catalog's entry alone; the files at ``path`` stay

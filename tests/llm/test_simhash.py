@@ -1,7 +1,9 @@
 import itertools
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 import xxhash
@@ -10,6 +12,7 @@ from hypothesis import strategies as st
 
 from stripewise.llm import neardup, simhash
 from stripewise.llm.components import components
+from stripewise.llm.shared import discard, stored
 
 
 def plain_fingerprint(text, shingle):
@@ -188,3 +191,74 @@ def test_counts_of_shingles(docs, small):
             counts[int(h) >> (64 - neardup.SLOTS.bit_length() + 1)] += 1
     levels = neardup.rarity(docs.select("text").repartition(5), 5)
     assert (levels == np.ceil(np.log2(counts + 1))).all() and levels.max() > 1
+
+
+def test_halves_make_the_buckets_of_all_variants(monkeypatch):
+    """Fingerprints sent by halves of segments are linked as by all their one-wildcard variants, also where groups and buckets are too large for a task."""
+    rng = np.random.default_rng(3)
+    marks = rng.integers(0, 1 << 64, (300, 2), dtype=np.uint64)
+    for k in range(300):  # near fingerprints of the first
+        bits = rng.choice(neardup.BITS, int(rng.integers(0, 25)), replace=False)
+        near = marks[k % 100].copy()
+        for bit in bits.tolist():
+            near[bit // 64] ^= np.uint64(1 << (bit % 64))
+        marks = np.r_[marks, [near]]
+    w0, w1 = marks[:, 0].copy(), marks[:, 1].copy()
+    values = [int(a) | int(b) << 64 for a, b in marks]
+    want = set()
+    for i, j in itertools.combinations(range(len(values)), 2):
+        x = values[i] ^ values[j]
+        if x.bit_count() <= neardup.NEAR and any(((x >> low) & ((1 << (high - low)) - 1)).bit_count() <= 1 for low, high in neardup.cuts()):
+            want.add((values[i], values[j]))
+    assert len(want) > 100
+    keys = [((values[k] >> low) & ((1 << (high - low)) - 1)) + (h << 32) for h, (low, high, _) in enumerate(neardup.halves()) for k in range(len(values))]
+    order = np.argsort(keys, kind="stable")
+    batch = pa.RecordBatch.from_arrays([pa.array(np.array(keys)[order]), *(pa.array(np.tile(w, len(keys) // w.size)[order].view(np.int64)) for w in (w0, w1))], names=["key", "w0", "w1"])
+    for group, block in ((neardup.GROUP, neardup.BLOCK), (neardup.GROUP, 1), (1, neardup.BLOCK)):
+        monkeypatch.setattr(neardup, "GROUP", group)
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        found, large = set(), {}
+        for out in neardup._candidates(iter([batch.slice(low, 700) for low in range(0, batch.num_rows, 700)])):
+            rows = out.to_pydict()
+            for a0, a1, b0, b1, key in zip(*(rows[c] for c in ("a0", "a1", "b0", "b1", "key")), strict=True):
+                a, b = ((x & (1 << 64) - 1) | (y & (1 << 64) - 1) << 64 for x, y in ((a0, a1), (b0, b1)))
+                if key is None:
+                    found.add(frozenset((a, b)))
+                else:
+                    large.setdefault(key, set()).add(a)
+        assert bool(large) == (min(group, block) == 1)
+        for members in large.values():
+            found |= {frozenset(x) for x in itertools.combinations(members, 2) if (x[0] ^ x[1]).bit_count() <= neardup.NEAR}
+        assert {x for x in found if len(x) == 2} == {frozenset(x) for x in want if x[0] != x[1]}
+
+
+def test_candidates_move_few_bytes(spark):
+    """Of a fingerprint a few rows are moved, not one for each variant."""
+    moved = lambda: sum(x.totalShuffleWrite() for x in [spark._jsc.sc().statusStore().executorList(True).apply(0)])
+    marks = spark.range(20_000).select(F.xxhash64("id", F.lit(1)).alias("w0"), F.xxhash64("id", F.lit(2)).alias("w1"), F.array(F.xxhash64("id")).alias("rare"))
+    before = moved()
+    assert neardup.candidates(marks).count() == 0
+    assert moved() - before < 20_000 * 600
+
+
+def test_shuffle_files_go_when_a_table_is_stored(spark):
+    """Else those of all steps of an operator add up on disk until the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = blocks.getAllFiles()
+        return {files.apply(k).getName() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+
+    there = shuffles()
+    table = stored(spark.range(10_000).repartition(5, "id"), "t")
+    for _ in range(50):
+        if not shuffles() - there:
+            break
+        time.sleep(0.2)
+    assert not shuffles() - there and table.count() == 10_000
+    assert spark.conf.get(key, None) == before
+    discard(table)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(table.stored_path)
