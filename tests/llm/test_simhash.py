@@ -262,3 +262,21 @@ def test_shuffle_files_go_when_a_table_is_stored(spark):
     discard(table)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(table.stored_path)
+
+
+def test_keys_are_moved_in_passes(spark, monkeypatch):
+    """No pass over the marks has all their keys on disk: the shuffle files of each go before the next."""
+    moved = lambda: sum(x.totalShuffleWrite() for x in [spark._jsc.sc().statusStore().executorList(True).apply(0)])
+    passes = []
+
+    def put(df, name):
+        before = moved()
+        out = stored(df, name)
+        passes.extend([moved() - before] if name == "candidates" else [])
+        return out
+
+    monkeypatch.setattr(neardup, "stored", put)
+    rare = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: F.xxhash64("id", k))
+    marks = spark.range(5_000).select(F.xxhash64("id", F.lit(1)).alias("w0"), F.xxhash64("id", F.lit(2)).alias("w1"), rare.alias("rare"))
+    assert neardup.candidates(marks).count() == 0
+    assert max(passes) < 0.3 * sum(passes)
