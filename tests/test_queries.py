@@ -8,7 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from stripewise.plans import registry
+from stripewise.plans import layouts, registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -38,6 +38,24 @@ def test_query(spark, sf, duck, name):
         assert len(got)
 
 
+@pytest.mark.parametrize(("name", "rows"), [*((n, 3000) for n in sorted(registry.oracle_sql())), *((n, 1000) for n in ("bloom_might_contain", "cli_bloom", "cli_index", "orc_row_index", "pred_nan", "row_group_stats", "rowsel_and_then", "rowsel_from_filters", "rowsel_skip_all", "ts_decimal"))])
+def test_query_over_several_files_and_stripes(spark, monkeypatch, name, rows):
+    """The same where tables take several files (few, and more than the driver plans for) of several stripes."""
+    sf = "/root/testdata/sf0.01"
+    small = {"stripe_bytes": 4 << 10, "check_rows": 1000}
+    monkeypatch.setattr(layouts, "_MADE", _SEVERAL.setdefault(rows, {}))
+    monkeypatch.setattr(layouts, "LAYOUTS", {k: (f, (o if "stripe_bytes" in o or "stripe_rows" in o else o | small) | {"file_rows": rows if "stride" in o else 10_000} if "file_rows" in o else o) for k, (f, o) in layouts.LAYOUTS.items()})
+    got = registry.queries()[name](spark, sf).toPandas()
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    want = c.sql(registry.oracle_sql()[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and values(got) == values(want)
+
+
+_SEVERAL: dict[int, dict] = {}
+
+
 def test_entry(spark, sf):
     import __spark_entry__
 

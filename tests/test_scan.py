@@ -173,3 +173,26 @@ def test_streaming(spark, tmp_path):
     q = stream(spark, str(tmp_path / "in"), max_files=1).writeStream.format("memory").queryName("arrived").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("arrived").count() == 10
+
+
+def test_files_of_bounded_rows_in_order(spark, tmp_path):
+    """Files of so many rows at most, sorted over all, of full row groups, whatever the order of the rows before; read by position as one."""
+    df = spark.range(25_300).select((F.col("id") * 7919 % 25_300).alias("id")).repartition(7)
+    path = str(tmp_path / "t")
+    write(df, path, file_rows=4000, sort_by=["id"], stride=1000, batch_rows=1000, stripe_bytes=4 << 10, check_rows=1000)
+    files = [OrcFile(f) for f in paths_of(spark, path)]
+    assert len(files) == 7 and all(f.rows == 4000 for f in files[:-1]) and sum(f.rows for f in files) == 25_300
+    assert all(s.rows % 1000 == 0 for f in files[:-1] for s in f.stripes)
+    assert scan(spark, path, row_index=True, across=True).where("id = row_index").count() == 25_300
+    some = RowSelection([(0, 5), (3999, 4001), (24_000, 25_300)], 25_300)
+    assert sorted(r.id for r in scan(spark, path, selection=some).collect()) == some.positions.tolist()
+    assert [x.name for x in tmp_path.iterdir()] == ["t"]
+    many = str(tmp_path / "many")
+    write(df, many, file_rows=2000, sort_by=["id"], stride=1000, batch_rows=1000)
+    every = RowSelection.from_filters([[k % 3 == 0 for k in range(25_300)]])
+    assert len(paths_of(spark, many)) == 13
+    got = scan(spark, many, selection=every, row_index=True, across=True).collect()
+    assert sorted(r.id for r in got) == every.positions.tolist() and all(r.id == r.row_index for r in got)
+    assert scan(spark, many, selection=RowSelection.skip_all(25_300)).count() == 0
+    with pytest.raises(ValueError):
+        write(df, str(tmp_path / "u"), file_rows=1500, sort_by=["id"], stride=1000)
