@@ -280,3 +280,21 @@ def test_keys_are_moved_in_passes(spark, monkeypatch):
     marks = spark.range(5_000).select(F.xxhash64("id", F.lit(1)).alias("w0"), F.xxhash64("id", F.lit(2)).alias("w1"), rare.alias("rare"))
     assert neardup.candidates(marks).count() == 0
     assert max(passes) < 0.3 * sum(passes)
+
+
+def test_equal_texts_are_joined_before_they_are_moved(spark, monkeypatch):
+    """The marks of a text with very many copies do not all go to one task, and take as many files as there are partitions."""
+    plans = {}
+
+    def put(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        out = stored(df, name)
+        plans.setdefault(f"{name} files", len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(neardup, "stored", put)
+    df = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), F.col("id") % 500) for k in range(8)]).alias("text"))
+    assert neardup.one_of_each(df).count() == 500
+    marks = plans["marks"]
+    assert marks.index("partial_first") > marks.index("Exchange hashpartitioning(k1")
+    assert plans["marks files"] == int(spark.conf.get("spark.sql.shuffle.partitions"))
